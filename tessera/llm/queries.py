@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import table
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.linededup import drop_boilerplate
+from tessera.llm.lm import score_documents
 from tessera.llm.mixing import mix_documents
 from tessera.llm.quality import quality_rules
 from tessera.llm.secretscan import scan_secrets
@@ -16,6 +17,10 @@ from tessera.llm.sharding import shard_documents
 from tessera.llm.toxicity import score_toxicity
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents")).drop("source")
 
