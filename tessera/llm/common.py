@@ -101,6 +101,9 @@ def tokenise(texts: list[bytes], lower: bool = True) -> Tokens:
     hashes, counts = [], []
     chunk: list[bytes] = []
     held = 0
+    longest = max(1 << 20, max(map(len, texts), default=0) + 1) + (1 << 20)
+    longest = min(longest, sum(map(len, texts)) + len(texts)) + 2
+    power, inverse = _powers(longest, _BASE), _powers(longest, _INV)
 
     def flush() -> None:
         nonlocal chunk, held
@@ -113,10 +116,8 @@ def tokenise(texts: list[bytes], lower: bool = True) -> Tokens:
         begin, end = edge[0::2], edge[1::2]
         data = (_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)
         n = len(raw)
-        power = _powers(n + 1, _BASE)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(data * power[:n], out=total[1:])
-        inverse = _powers(n + 1, _INV)
         word = (total[end] - total[begin]) * inverse[begin]
         hashes.append(mix64(word ^ ((end - begin).astype(np.uint64) << np.uint64(56))))
         ends = np.cumsum([len(x) + 1 for x in chunk])

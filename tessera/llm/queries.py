@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
+from tessera.llm.decontamination import find_leaks
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.linededup import drop_boilerplate
 from tessera.llm.lm import score_documents
 from tessera.llm.mixing import mix_documents
+from tessera.llm.neardup import near_duplicates
 from tessera.llm.quality import quality_rules
 from tessera.llm.secretscan import scan_secrets
 from tessera.llm.sharding import shard_documents
@@ -21,6 +23,14 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents")).drop("source")
 
