@@ -1,28 +1,48 @@
-"""The corpus pipeline: quality rules, near-dedup, decontamination, mixing, sharding."""
+"""The corpus pipeline: quality rules, near-dedup, decontamination, mixing, sharding.
+
+Each stage takes what its predecessor kept, as written to and read back from Parquet; all but the last return the columns
+of documents. The stages fit statistics to their input and draw on hashes, so SQL does not express their rows: ORACLE_SQL
+is None, and the tests hold each stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import materialise, table
+from tessera.llm.decontamination import drop_leaked
 from tessera.llm.mixing import take_mix
+from tessera.llm.neardup import keep_one
 from tessera.llm.quality import filter_quality
 from tessera.llm.sharding import shard_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base conditions pass and the rules' posterior probability favours."""
     return filter_quality(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more)."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within a fifth of its words edited."""
+    return drop_leaked(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
     return take_mix(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document of the mix."""
     return shard_documents(docs)
 
 
-STAGES = [("quality", quality), ("mixing", mixing), ("sharding", sharding)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 ORACLE_SQL = None
 
 

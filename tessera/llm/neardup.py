@@ -286,9 +286,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each near-duplicate group (that of the smallest id), and all rows without words."""
-    kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("__id"), (F.col("n_shingles") == 0).alias("__empty")).distinct()
-    held = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]))
-    # Rows that repeat an id: one of them, by the digest of the text.
-    place = F.row_number().over(Window.partitionBy("__id", "__empty").orderBy(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    return held.withColumn("__place", place).where((F.col("__place") == 1) | F.col("__empty")).select(*docs.columns)
+    """docs with one row of each near-duplicate group (that of the smallest id), and all rows without words or without id."""
+    kept = near_duplicates(docs, k, percent).where(F.col("kept") & F.col("doc_id").isNotNull())
+    kept = kept.groupBy("doc_id").agg(F.min(F.col("n_shingles") == 0).alias("__empty"))
+    # Rows that repeat an id: one of them, by the digest of the text. Join and window share one exchange.
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    held = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id").withColumn("__place", place)
+    held = held.where((F.col("__place") == 1) | F.col("__empty")).select(*docs.columns)
+    return held.unionByName(docs.where(F.col("doc_id").isNull()))
