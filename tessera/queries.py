@@ -1,9 +1,14 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""All registered queries over the driver's tables and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from tessera.plans import activity, choice, identity, linkage, quality, records, scoring, search, streams, texts  # noqa: F401  registers
+from tessera.plans.registry import QUERIES, SQL, Query
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
