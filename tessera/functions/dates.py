@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import let
+
 EARLIEST_YEAR = 1990
 UPLOAD_FOLDERS = r"(?i)/(?:wp-content|uploads?|media|files|assets|images?|img|static|download)/"
 # Evidence for a date, best first.
@@ -17,7 +19,7 @@ def parse_date(text: Column) -> Column:
     at = lambda k: F.regexp_extract(F.trim(text), r"^(\d{4})-(\d{2})(?:-(\d{2}))?", k)
     day = F.when(at(3) == "", "01").otherwise(at(3))
     found = F.try_to_date(F.concat_ws("-", at(1), at(2), day), "yyyy-MM-dd")
-    return F.when(F.year(found) >= EARLIEST_YEAR, found)
+    return let(found, lambda d: F.when(F.year(d) >= EARLIEST_YEAR, d))
 
 
 def split_title_date(title: Column) -> Column:

@@ -181,7 +181,7 @@ def markdown_policies(spark: SparkSession, path: str) -> DataFrame:
     """(source, policy) of a Markdown table whose first cell names the source and whose last states the policy."""
     lines = spark.read.text(path).where(F.trim("value").startswith("|"))
     cells = F.transform(F.split("value", r"(?<!\\)\|"), lambda x: F.trim(F.regexp_replace(x, r"[`*]", "")))
-    rows = lines.select(F.slice(cells, 2, F.size(cells) - 2).alias("c")).where(F.size("c") >= 2)
+    rows = lines.select(F.slice(cells, 2, F.greatest(F.size(cells) - 2, F.lit(0))).alias("c")).where(F.size("c") >= 2)
     policy = F.lower(F.element_at("c", -1))
     return rows.where(policy.isin("full", "derived-only", "evidence-only")).select(F.get("c", F.lit(0)).alias("source"), policy.alias("policy"))
 
