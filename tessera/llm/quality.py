@@ -50,7 +50,8 @@ def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
     twice = F.filter(r, lambda x, j: F.coalesce(x["h"] == F.get(r, j - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(r, j + 1)["h"], F.lit(False)))
     df = df.withColumn(f"{P}at", F.sort_array(F.transform(twice, lambda x: x["i"])))
     at = F.col(f"{P}at")
-    covered = F.aggregate(F.zip_with(F.slice(at, 2, F.size(at)), at, lambda a, b: F.least(F.lit(WINDOW), a - b)), F.lit(WINDOW), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
+    steps = F.zip_with(F.slice(at, 2, F.size(at)), F.slice(at, 1, F.size(at) - 1), lambda a, b: F.least(F.lit(WINDOW), a - b))
+    covered = F.aggregate(steps, F.lit(WINDOW), lambda acc, x: acc + x)
     lines, words = F.col(f"{P}lines"), F.col(f"{P}words")
     df = df.withColumns(
         {
