@@ -33,7 +33,7 @@ VALUES, TREES, DEPTH = 64, 16, 4
 DEEPER = (6, 9, 14, 24, 64)
 LARGE = 12  # nodes from which a region is entered deeper
 LIKELY = 38  # of 64 equal values: fewer are 4.2 standard deviations below a similarity of 0.8
-TILE = 128
+TILE = 512
 
 _R = np.random.default_rng(20240229)
 _XOR = _R.integers(1 << 63, size=VALUES, dtype=np.uint64)
@@ -217,29 +217,64 @@ def _grouped(members: DataFrame, comps: DataFrame) -> DataFrame:
     return own.join(mixed, ["tree", "key"], "left_semi")
 
 
-def _tiled(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs across the groups of every mixed region, compared tile by tile."""
-    rows = mixed.join(nodes.select("node", "n_shingles", "sig"), "node")
+SKETCH = 4096
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(node, sketch): how many shingles fall into each of SKETCH buckets; null where a bucket's count needs more than a byte.
+
+    What two sets share is at most the sum, over buckets, of the smaller count.
+    """
+
+    def made(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for x in b.column(1).to_pylist():
+                c = np.bincount((np.cumsum(unpack_numbers(x), dtype=np.uint64) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                out.append(pack_numbers(c.astype(np.uint8)) if c.max(initial=0) < 255 else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["node", "sketch"])
+
+    return sets.select("node", "set").mapInArrow(made, "node binary, sketch binary")
+
+
+def _tiled(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs across the groups of every mixed region, compared tile by tile.
+
+    In large regions, where outliers of a dense group resemble many nodes without reaching any, a pair's sketches must also
+    leave a link possible. A pair is told in its first common region only.
+    """
+    large = mixed.where(F.col("n") >= LARGE).select("node").distinct()
+    sketches = materialise(_sketches(sets.join(large, "node", "left_semi")))
+    rows = mixed.join(nodes.select("node", "n_shingles", "sig"), "node").join(sketches, "node", "left")
     rows = rows.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    packed = rows.groupBy("tree", "key", "tile", "tiles").agg(F.collect_list(F.struct("node", "comp", "n_shingles", "sig")).alias("held"))
-    left = packed.select("tree", "key", F.col("tile").alias("i"), F.col("held").alias("x"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("tile"))
-    both = left.join(packed.select("tree", "key", "tile", F.col("held").alias("y")), ["tree", "key", "tile"]).select("x", "y")
+    packed = rows.groupBy("tree", "key", "tile", "tiles").agg(F.collect_list(F.struct("node", "comp", "n_shingles", "sketch", "sig")).alias("held"))
+    left = packed.select("tree", "key", F.col("held").alias("x"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("tile"))
+    both = left.join(packed.select("tree", "key", "tile", F.col("held").alias("y")), ["tree", "key", "tile"]).select("x", "y", "tree")
 
     def compared(batches):
         import pyarrow as pa
 
         for b in batches:
             pairs = set()
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for x, y, tree in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 sx, sy = (np.frombuffer(b"".join(r["sig"] for r in z), dtype=np.uint16).reshape(len(z), VALUES) for z in (x, y))
                 nx, ny = (np.array([r["n_shingles"] for r in z]) for z in (x, y))
                 cx, cy = (np.array([r["comp"] for r in z], dtype=object) for z in (x, y))
                 near = 100 * np.minimum(nx[:, None], ny[None, :]) >= percent * np.maximum(nx[:, None], ny[None, :])
                 near &= cx[:, None] != cy[None, :]
+                # A row without a sketch has counts that bound nothing.
+                kx, ky = (np.stack([np.full(SKETCH, 255, np.uint8) if r["sketch"] is None else unpack_numbers(r["sketch"]) for r in z]) for z in (x, y))
                 p, q = np.nonzero(near)
-                for s in range(0, len(p), 1 << 16):
-                    u, v = p[s : s + (1 << 16)], q[s : s + (1 << 16)]
-                    ok = (sx[u] == sy[v]).sum(1) >= LIKELY
+                for s in range(0, len(p), 1 << 14):
+                    u, v = p[s : s + (1 << 14)], q[s : s + (1 << 14)]
+                    same = sx[u] == sy[v]
+                    met = same.reshape(len(u), TREES, DEPTH).all(2)[:, :tree].any(1)
+                    ok = (same.sum(1) >= LIKELY) & ~met
+                    u, v = u[ok], v[ok]
+                    share = np.minimum(kx[u], ky[v]).sum(1, dtype=np.int64)
+                    ok = 100 * share >= percent * (nx[u] + ny[v] - share)
                     pairs.update(tuple(sorted((x[i]["node"], y[j]["node"]))) for i, j in zip(u[ok], v[ok], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([z[0] for z in pairs], pa.binary()), pa.array([z[1] for z in pairs], pa.binary())], ["a", "b"])
 
@@ -274,7 +309,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         links = links.unionByName(second)
         comps = components(links)
     mixed = _grouped(members, comps).where(F.col("n") > 2).select("node", "tree", "key", "n", "comp")
-    last = _confirmed(_tiled(mixed, nodes, percent).join(tried, ["a", "b"], "left_anti"), full, percent)
+    last = _confirmed(_tiled(mixed, nodes, full, percent).join(tried, ["a", "b"], "left_anti"), full, percent)
     if not last.isEmpty():
         comps = components(links.unionByName(last))
     found = nodes.select("node", "min_doc").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
