@@ -6,23 +6,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.arrays import ngrams
 from tessera.functions.text import TEXTS, osa_distance
 
 MAX_WORDS = 5
 
 
+def _word_rows(docs: DataFrame, doc: str, tokens: str, before: int, after: int) -> DataFrame:
+    """(doc, at, w_0, w_1, …): one row per word with its neighbours, w_m1 being the word before; rows never carry the whole text."""
+    t = F.col(tokens)
+    offsets = range(-before, after + 1)
+    named = lambda k: f"w_{k}" if k >= 0 else f"w_m{-k}"
+    spots = F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.struct(i.alias("at"), *[F.get(t, i + k).alias(named(k)) for k in offsets]))
+    return docs.select(doc, F.explode(F.when(F.size(t) > 0, spots)).alias("s")).select(doc, "s.*")
+
+
 def phrase_candidates(docs: DataFrame, doc: str, tokens: str, dictionary: DataFrame, most: int = MAX_WORDS) -> DataFrame:
-    """(doc, at, n, phrase, entity) wherever a run of tokens is a dictionary phrase.
+    """(doc, at, n, phrase, …) wherever a run of tokens is a dictionary phrase.
 
     The dictionary is joined on the phrase, so it may be of any size; Spark broadcasts it where it is small enough.
     Only runs whose first word begins some phrase are built.
     """
-    starts = dictionary.select(F.split("phrase", " ")[0].alias("first")).distinct()
-    words = docs.select(doc, tokens, F.posexplode(tokens).alias("at", "first"))
-    near = words.join(starts, "first", "left_semi")
-    runs = near.select(doc, "at", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(tokens) - F.col("at"))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(F.col(tokens), F.col("at") + 1, n), " ").alias("phrase")))).alias("r"))
-    return runs.select(doc, "at", "r.n", "r.phrase").join(dictionary, "phrase")
+    starts = dictionary.select(F.split("phrase", " ")[0].alias("w_0")).distinct()
+    near = _word_rows(docs, doc, tokens, 0, most - 1).join(starts, "w_0", "left_semi")
+    words = [F.col(f"w_{k}") for k in range(most)]
+    runs = F.array(*[F.when(words[n - 1].isNotNull(), F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *words[:n]).alias("phrase"))) for n in range(1, most + 1)])
+    return near.select(doc, "at", F.explode(F.array_compact(runs)).alias("r")).select(doc, "at", "r.n", "r.phrase").join(dictionary, "phrase")
 
 
 def longest_first(candidates: DataFrame, doc: str) -> DataFrame:
@@ -59,10 +67,11 @@ def top_mentions(mentions: DataFrame, doc: str, most: int = 25) -> DataFrame:
     return mentions.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def containment_join(names: DataFrame, name: str, tokens: str, reference: DataFrame) -> DataFrame:
-    """(name, phrase): names that contain a reference phrase (phrase, n_words) as whole neighbouring words, and more."""
-    runs = names.select(name, F.size(tokens).alias("__words"), F.explode(ngrams(F.col(tokens), 8)).alias("r")).select(name, "__words", "r.phrase", F.col("r.n").alias("__n"))
-    return runs.where(F.col("__n") < F.col("__words")).join(reference.select("phrase").distinct(), "phrase").select(name, "phrase").distinct()
+def containment_join(names: DataFrame, name: str, tokens: str, reference: DataFrame, most: int = 8) -> DataFrame:
+    """(name, phrase): names that contain a reference phrase as whole neighbouring words, and more."""
+    found = phrase_candidates(names, name, tokens, reference.select("phrase").distinct(), most)
+    longer = names.select(name, F.size(tokens).alias("__words"))
+    return found.join(longer, name).where(F.col("n") < F.col("__words")).select(name, "phrase").distinct()
 
 
 @F.pandas_udf(TEXTS)
@@ -128,8 +137,8 @@ def token_counts(docs: DataFrame, tokens: Column, least: int = 1) -> DataFrame:
 
 def context_counts(docs: DataFrame, doc: str, tokens: str, contexts: list[str]) -> DataFrame:
     """For each token: documents that use it, and documents in which one of the context words stands next to it."""
-    words = docs.select(doc, tokens, F.posexplode(tokens).alias("at", "token"))
-    beside = F.get(F.col(tokens), F.col("at") - 1).isin(contexts) | F.get(F.col(tokens), F.col("at") + 1).isin(contexts)
+    words = _word_rows(docs, doc, tokens, 1, 1).withColumnRenamed("w_0", "token")
+    beside = F.col("w_m1").isin(contexts) | F.col("w_1").isin(contexts)
     once = words.groupBy("token", doc).agg(F.bool_or(F.coalesce(beside, F.lit(False))).alias("beside"))
     return once.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("beside").alias("n_context"))
 
