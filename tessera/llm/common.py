@@ -45,9 +45,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of df's files; a planning figure that no result depends on."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def packed_rows(docs: DataFrame, **needed: Column) -> DataFrame:
+    """The needed columns beside `row`, which holds all columns of docs whatever their names."""
+    return docs.select(*[c.alias(k) for k, c in needed.items()], F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+
+
+def unpacked_rows(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, text_bytes, tokenise
+from tessera.llm.common import mix64, packed_rows, text_bytes, tokenise, unpacked_rows
 
 SHARE = 0.2
 RECALL = 0.99
@@ -257,13 +257,13 @@ def _chunks(texts: list[bytes], most: int = 4 << 20):
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: float = RECALL) -> DataFrame:
     """The rows of docs that hold no item, with their own columns."""
     blocks = [docs.sparkSession.sparkContext.broadcast(Index(b, share, recall)) for b in item_blocks(benchmark)]
-    at = docs.columns.index("text")
+    rows = packed_rows(docs, text=F.col("text"))
 
     def clean(batches):
         import pyarrow as pa
 
         for b in batches:
-            texts = text_bytes(b.column(at))
+            texts = text_bytes(b.column(0))
             keep = np.ones(b.num_rows, dtype=bool)
             for s in _chunks(texts):
                 for held in blocks:
@@ -271,4 +271,4 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, rec
                         keep[s.start + row[0]] = False
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return unpacked_rows(rows.mapInArrow(clean, rows.schema), docs)

@@ -44,7 +44,7 @@ def _unpack(raw: bytes) -> bytes:
 
 def pack_numbers(x: np.ndarray) -> bytes:
     """Whole numbers with their bytes put in planes, which compress apart."""
-    return struct.pack("<QB", len(x), x.dtype.itemsize) + _pack(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return struct.pack("<QB", len(x), x.dtype.itemsize) + _pack(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes())
 
 
 def unpack_numbers(raw: bytes) -> np.ndarray:

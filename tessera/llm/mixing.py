@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, word_array
+from tessera.llm.common import materialise, packed_rows, unpacked_rows, word_array
 
 WEIGHTS = (3, 1, 2)
 SHARE, PASSES = 1.5, 2
@@ -90,7 +90,8 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", i
 
 def take_mix(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes them."""
-    mixed = mix_documents(docs).where(F.col("taken") > 0).select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    times = mixed.groupBy("__id").agg(F.max("__times").alias("__times"))
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    mixed = mix_documents(docs).where(F.col("taken") > 0).select(F.col("doc_id").alias("id"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    times = mixed.groupBy("id").agg(F.max("times").alias("times"))
+    rows = packed_rows(docs, doc_id=F.col("doc_id"))
+    out = rows.join(times, F.col("doc_id").eqNullSafe(F.col("id")))
+    return unpacked_rows(out.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")), docs)

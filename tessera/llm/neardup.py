@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, mix64, text_bytes, tokenise
+from tessera.llm.common import materialise, mix64, packed_rows, text_bytes, tokenise, unpacked_rows
 from tessera.llm.lm import pack_numbers, unpack_numbers
 
 SHINGLE, PERCENT = 5, 80
@@ -323,9 +323,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each near-duplicate group (that of the smallest id), and all rows without words or without id."""
     kept = near_duplicates(docs, k, percent).where(F.col("kept") & F.col("doc_id").isNotNull())
-    kept = kept.groupBy("doc_id").agg(F.min(F.col("n_shingles") == 0).alias("__empty"))
+    kept = kept.groupBy("doc_id").agg(F.min(F.col("n_shingles") == 0).alias("empty"))
     # Rows that repeat an id: one of them, by the digest of the text. Join and window share one exchange.
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    held = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id").withColumn("__place", place)
-    held = held.where((F.col("__place") == 1) | F.col("__empty")).select(*docs.columns)
-    return held.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = packed_rows(docs, doc_id=F.col("doc_id"), digest=F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("digest"))
+    held = rows.where(F.col("doc_id").isNotNull()).join(kept, "doc_id").withColumn("place", place)
+    held = held.where((F.col("place") == 1) | F.col("empty"))
+    return unpacked_rows(held.select("row").unionByName(rows.where(F.col("doc_id").isNull()).select("row")), docs)

@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, lower_ascii, materialise, word_array
+from tessera.llm.common import SPACES, lower_ascii, materialise, packed_rows, unpacked_rows, word_array
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -148,8 +148,8 @@ def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs whose verdict is kept, with their own columns."""
     voted = vote_columns(base_columns(docs.select(F.col(text).alias("text"))))
     prior, rates = _fitted(voted)
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(f"{P}row"), F.col(text).alias("text"))
+    inner = packed_rows(docs, text=F.col(text)).withColumnRenamed("row", f"{P}row")
     # The row number keeps the optimizer from pushing the condition, and so a copy of every count, below the counts.
     judged = vote_columns(base_columns(inner)).withColumn("p_good", _posterior_good(prior, rates)).withColumn(f"{P}at_row", F.monotonically_increasing_id())
     judged = judged.where((F.col(f"{P}at_row") >= 0) & ~F.col("base_failed") & (F.col("p_good") >= 0.5))
-    return judged.select(*[F.col(f"{P}row")[c].alias(c) for c in docs.columns])
+    return unpacked_rows(judged.select(F.col(f"{P}row").alias("row")), docs)
