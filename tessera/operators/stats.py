@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tessera.functions.arrays import ratio, smoothed_share
 
 
+MAX_SAMPLES = 20_000  # of a labelled set that is broadcast
+
+
 def micro_prf(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Precision, recall and F1 over all items of two array columns."""
     hit = F.size(F.array_intersect(truth, predicted))
@@ -62,7 +65,9 @@ def leave_one_out(samples: DataFrame, item: str, label: str, features: list[str]
     The samples are a small labelled set (thousands at most) and are broadcast; the fits, one for each sample, are what
     is spread over the cluster.
     """
-    held = samples.select(item, label, *features).orderBy(item).toPandas()
+    held = samples.select(item, label, *features).orderBy(item).limit(MAX_SAMPLES + 1).toPandas()
+    if len(held) > MAX_SAMPLES:
+        raise ValueError(f"leave-one-out is for at most {MAX_SAMPLES} samples")
     x, y, ids = held[features].to_numpy(float), held[label].to_numpy(float), held[item].tolist()
     spark = samples.sparkSession
     shared = spark.sparkContext.broadcast((x, y, ids))
