@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import activity, choice, identity, linkage, quality, records, scoring, search, streams, texts  # noqa: F401  registers
+from tessera.plans import activity, choice, identity, linkage, lookups, quality, records, scoring, search, streams, texts  # noqa: F401  registers
 from tessera.plans.registry import QUERIES, SQL, Query
 
 
