@@ -4,8 +4,8 @@ Documents of equal text form an atomic group. Groups stand in the order of their
 which a greedy left-to-right filling needs at most n shards is found by binary search, and the order is cut there.
 
 Running sums over groups are made in two steps (sums per digest prefix, then sums within a prefix), so no task sees all
-groups. The search asks the table of running sums for "the last group that ends at or before x", for several capacities
-in one pass each; the driver only ever holds those few sums.
+groups. While the groups near possible cuts are many, the search asks the table of running sums for "the last group that
+ends at or before x", for several capacities in one pass; once they are at most MAX_ENDS, the driver finishes with them.
 
 Defined results. Null text: no bytes, grouped with empty texts. Empty table: empty result. Repeated rows: each takes a slot
 of its own, in its text's shard. One group larger than the even share makes a shard as large as that group. Extra columns
@@ -14,13 +14,16 @@ are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
 
 PREFIX = 3  # hex digits of the digest: 4,096 partial sums
-PROBES = 31  # capacities tried in a round
+PROBES = 31  # capacities tried in a round over the table
+MAX_ENDS = 100_000  # group ends that the driver may hold to finish the search
 
 
 def _digest(text: Column) -> Column:
@@ -63,15 +66,35 @@ def minimax_ends(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         return 0, [0] * shards
     low = max(widest, -(-total // shards))  # below it nothing is feasible
     high = low + widest  # a greedy shard leaves less than one group of its capacity unused
-    best = None
-    while best is None or low < high:
+    while low < high:
+        # The i-th greedy shard of a capacity c ends above i * (c - widest) and at or below i * c: only ends there matter.
+        near = F.lit(False)
+        for i in range(1, shards + 1):
+            near = near | F.col("end").between(i * (low - widest), i * high)
+        few = groups.where(near).select("end")
+        if few.count() <= MAX_ENDS:
+            return _finish(sorted(r["end"] for r in few.collect()), low, high, shards, total)
         step = max(1, -(-(high - low) // PROBES))
         tried = sorted({*range(low, high, step), high})
         found = _cuts(groups, tried, shards, widest)
         k = next(i for i, own in enumerate(found) if own[-1] >= total)
-        best = found[k]
         low, high = (tried[k - 1] + 1 if k else tried[0]), tried[k]
-    return high, best
+    return low, _cuts(groups, [low], shards, widest)[0]
+
+
+def _finish(ends: list[int], low: int, high: int, shards: int, total: int) -> tuple[int, list[int]]:
+    """The binary search over the ends that can matter between two capacities."""
+
+    def cuts(capacity: int) -> list[int]:
+        own = [0]
+        for _ in range(shards):
+            own.append(max(own[-1], ends[bisect_right(ends, own[-1] + capacity) - 1] if ends else 0))
+        return own[1:]
+
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if cuts(middle)[-1] >= total else (middle + 1, high)
+    return low, cuts(low)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", id_col: str = "doc_id") -> DataFrame:
