@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.arrays import let
 
+# Fixed values.
 EARLIEST_YEAR = 1990
 UPLOAD_FOLDERS = r"(?i)/(?:wp-content|uploads?|media|files|assets|images?|img|static|download)/"
 # Evidence for a date, best first.
