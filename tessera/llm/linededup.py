@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RATIO, MIN_PAGES = 0.2, 3
+RATIO, MIN_PAGES, SALTS = 0.2, 3, 64
 # What has no visible text, and tags that end a line.
 HIDDEN = (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>")
 BREAKS = r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|header|footer|title|head|body|html|main|aside|blockquote|pre)\b[^>]*>"
@@ -41,9 +41,12 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
     seen = known.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
     counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     totals = pages.select(host(F.col("url")).alias("host")).where(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    common = counts.join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
-    sets = common.groupBy("host").agg(F.collect_list("line").alias("common"))
-    out = rows.join(sets, "host", "left")
+    # A large host's lines and pages are spread over SALTS parts; what is known of the host is sent to each of them.
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salt = lambda c: F.pmod(c, F.lit(SALTS)).cast("int").alias("salt")
+    common = counts.select("*", salt(F.col("line"))).join(totals.select("host", "pages", parts), ["host", "salt"]).where(F.col("n") > ratio * F.col("pages"))
+    sets = common.groupBy("host").agg(F.collect_list("line").alias("common")).select("host", "common", parts)
+    out = rows.select("*", salt(F.xxhash64("page_id"))).join(sets, ["host", "salt"], "left")
     kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains(F.col("common"), F.xxhash64(x)), F.lit(False)))
     out = out.withColumn("kept", kept)
     return out.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
