@@ -63,10 +63,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def choose(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Buckets seen often enough whose log odds between the classes stand out from chance, the clearest first."""
-    pair = np.unique(doc.astype(np.int64) << 20 | bucket)
-    d, b = pair >> 20, pair & ((1 << 20) - 1)
-    pos, seen = np.bincount(b, y[d], 1 << BITS), np.bincount(b, minlength=1 << BITS)
+    """Buckets seen often enough whose log odds between the classes stand out from chance, the clearest first.
+
+    (doc, bucket) holds no pair twice.
+    """
+    pos, seen = np.bincount(bucket, y[doc], 1 << BITS), np.bincount(bucket, minlength=1 << BITS)
     neg, n1, n0 = seen - pos, y.sum(), (1 - y).sum()
     z = (np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
     kept = np.flatnonzero((seen >= MIN_SEEN) & (np.abs(z) >= MIN_Z))
@@ -147,11 +148,14 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> FactorMachine:
-    rows = sorted((r["doc_id"], r["toxic"], bytes(r["terms"])) for r in labelled(docs, labels, max_rows).collect())
-    rows.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15) % (1 << 64))
-    terms = [np.frombuffer(r[2], dtype=np.int32).astype(np.int64) for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in terms])
-    return fit(doc, np.concatenate(terms) if terms else np.zeros(0, dtype=np.int64), np.array([r[1] for r in rows]))
+    rows = labelled(docs, labels, max_rows).toArrow().combine_chunks()
+    ids, y, raw = rows.column("doc_id").to_pylist(), rows.column("toxic").to_pylist(), rows.column("terms").to_pylist()
+    del rows
+    order = sorted(range(len(ids)), key=lambda k: ((ids[k] * 0x9E3779B97F4A7C15) % (1 << 64), y[k], raw[k]))
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(raw[k]) // 4 for k in order])
+    bucket = np.frombuffer(b"".join(raw[k] for k in order), dtype=np.int32)
+    del raw
+    return fit(doc, bucket, np.array([y[k] for k in order]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> DataFrame:
