@@ -105,9 +105,10 @@ def three_state_counts(spark, sf_dir):
 
 @query()
 def title_name_shapes(spark, sf_dir):
-    (docs,) = load(spark, sf_dir, "documents")
+    docs, bench = load(spark, sf_dir, "documents", "benchmark")
     titles = docs.select("doc_id", F.split("text", "\n", 2)[0].alias("title"))
-    return shapes.repeated_names(shapes.name_shapes(titles, "doc_id", "title"), "doc_id", titles.select(F.lit("none").alias("key")).limit(1), 2).withColumn("shapes", F.array_join("shapes", ","))
+    known = bench.select(F.explode(T.ascii_tokens(F.col("text"))).alias("key"))
+    return shapes.repeated_names(shapes.name_shapes(titles, "doc_id", "title"), "doc_id", known, 2).withColumn("shapes", F.array_join("shapes", ","))
 
 
 def _actor_records(spark, sf_dir):
