@@ -11,10 +11,10 @@ from tessera.session import load
 
 
 @query("""
-SELECT k AS text_key, doc_id, source FROM (SELECT lower(left(trim(text), 40)) AS k, doc_id, source, row_number() OVER (PARTITION BY lower(left(trim(text), 40)) ORDER BY source, doc_id) AS rn FROM documents) WHERE rn = 1""")
+SELECT k AS text_key, doc_id, source FROM (SELECT sha1(lower(trim(text))) AS k, doc_id, source, row_number() OVER (PARTITION BY sha1(lower(trim(text))) ORDER BY source, doc_id) AS rn FROM documents) WHERE rn = 1""")
 def first_wins_dedupe(spark, sf_dir):
     (docs,) = load(spark, sf_dir, "documents")
-    keyed = docs.select(F.lower(F.left(F.trim("text"), F.lit(40))).alias("text_key"), "doc_id", "source")
+    keyed = docs.select(F.sha1(F.lower(F.trim("text"))).alias("text_key"), "doc_id", "source")
     return dedupe.first_wins(keyed, ["text_key"], [F.col("source"), F.col("doc_id")])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fit_slug, hash_id
@@ -21,12 +22,12 @@ def frozen_ids_two_builds(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE h AS (SELECT o_orderkey AS node, o_orderkey // 2 AS goal FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey > 0),
-r(node, goal, d) AS (SELECT node, goal, 1 FROM h UNION ALL SELECT r.node, h.goal, d + 1 FROM r JOIN h ON r.goal = h.node)
-SELECT node, arg_max(goal, d) AS goal, false AS in_cycle FROM r GROUP BY 1""")
+SELECT o_orderkey AS node, goal, false AS in_cycle FROM (SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey) AS goal FROM orders) WHERE o_orderkey <> goal""")
 def redirect_chains(spark, sf_dir):
+    """Each order leads to the same customer's order before it; the chains end at the first orders."""
     (orders,) = load(spark, sf_dir, "orders")
-    hops = orders.where("o_orderkey % 2 = 0 AND o_orderkey > 0").select(F.col("o_orderkey").alias("node"), F.expr("o_orderkey div 2").alias("goal"))
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    hops = orders.select(F.col("o_orderkey").alias("node"), before.alias("goal")).where("goal IS NOT NULL")
     return graph.redirect_targets(hops, "node", "goal")
 
 
@@ -46,12 +47,12 @@ def hash_and_fitted_ids(spark, sf_dir):
 
 
 @query("""
-WITH o AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_acctbal + 1 END AS c_acctbal FROM customer WHERE c_custkey % 3 = 0)
+WITH o AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 6000), n AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal + 1 END AS c_acctbal FROM customer WHERE c_acctbal > 1000)
 SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM o FULL JOIN n ON o.c_custkey = n.c_custkey""")
 def merged_state(spark, sf_dir):
     (customer,) = load(spark, sf_dir, "customer")
-    old = customer.where("c_custkey % 2 = 0").select("c_custkey", "c_acctbal")
-    new = customer.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 6 != 0, F.col("c_acctbal") + 1).alias("c_acctbal"))
+    old = customer.where("c_acctbal < 6000").select("c_custkey", "c_acctbal")
+    new = customer.where("c_acctbal > 1000").select("c_custkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal") + 1).alias("c_acctbal"))
     return dedupe.merge_maps(old, new, "c_custkey")
 
 

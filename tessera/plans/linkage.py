@@ -10,12 +10,12 @@ from tessera.operators import checks, dedupe, graph, match
 from tessera.plans.registry import query
 from tessera.session import load
 
-_KEYS = "SELECT doc_id, lower(left(trim(text), 24)) AS key FROM documents UNION ALL SELECT doc_id, sha1(text) AS key FROM documents"
+_KEYS = "SELECT doc_id, lower(trim(split_part(text, chr(10), 1))) AS key FROM documents UNION ALL SELECT doc_id, sha1(text) AS key FROM documents"
 
 
 def _carriers(docs: DataFrame) -> DataFrame:
-    """Documents carry the start of their text and the digest of the whole as keys."""
-    keys = F.array(F.lower(F.left(F.trim("text"), F.lit(24))), F.sha1("text"))
+    """Documents carry their title line and the digest of the whole text as keys."""
+    keys = F.array(F.lower(F.trim(F.split("text", "\n")[0])), F.sha1("text"))
     return docs.select("doc_id", F.explode(keys).alias("key"))
 
 
@@ -87,20 +87,20 @@ def attribute_conflicts(spark, sf_dir):
 
 @query("""
 SELECT c_custkey, n_name, CASE WHEN n_name IS NULL THEN 'unresolved' ELSE 'resolved' END AS status
-FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 0) ON c_nationkey = n_nationkey""")
+FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 1) ON c_nationkey = n_nationkey""")
 def left_lookup_unresolved(spark, sf_dir):
     customer, nation = load(spark, sf_dir, "customer", "nation")
-    known = nation.where("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    known = nation.where("n_regionkey <> 1").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     out = customer.join(known, "c_nationkey", "left")
     return out.select("c_custkey", "n_name", F.when(F.col("n_name").isNull(), "unresolved").otherwise("resolved").alias("status"))
 
 
 @query("""
 SELECT c_nationkey, count(*) AS n, (sum(count(*)) OVER ())::BIGINT AS n_unresolved FROM customer
-WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 4 <> 0) GROUP BY 1 ORDER BY n DESC, c_nationkey LIMIT 200""")
+WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 1) GROUP BY 1 ORDER BY n DESC, c_nationkey LIMIT 200""")
 def unresolved_names_ranked(spark, sf_dir):
     customer, nation = load(spark, sf_dir, "customer", "nation")
-    known = nation.where("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("c_nationkey"))
+    known = nation.where("n_regionkey <> 1").select(F.col("n_nationkey").alias("c_nationkey"))
     lost = customer.join(known, "c_nationkey", "left_anti").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
     total = lost.agg(F.sum("n").alias("n_unresolved"))
     return lost.join(F.broadcast(total)).orderBy(F.desc("n"), "c_nationkey").limit(200)  # total: one row
@@ -108,7 +108,7 @@ def unresolved_names_ranked(spark, sf_dir):
 
 @query("""
 SELECT count(*) AS n_records, count(n_nationkey) AS n_resolved, count(n_nationkey) / count(*) AS match_rate
-FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 0) ON c_nationkey = n_nationkey""")
+FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 1) ON c_nationkey = n_nationkey""")
 def match_rate(spark, sf_dir):
     rows = left_lookup_unresolved(spark, sf_dir)
     return rows.agg(F.count(F.lit(1)).alias("n_records"), F.count("n_name").alias("n_resolved")).withColumn("match_rate", F.try_divide("n_resolved", "n_records"))
@@ -159,12 +159,12 @@ def relationship_join(spark, sf_dir):
 
 @query("""
 SELECT o_orderkey, coalesce(a.c_custkey, b.c_custkey) AS entity FROM orders
-LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) a ON o_custkey = a.c_custkey
+LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') a ON o_custkey = a.c_custkey
 LEFT JOIN (SELECT min(c_custkey) AS c_custkey, c_custkey % 1000 AS k FROM customer GROUP BY 2) b ON o_custkey % 1000 = b.k
 WHERE coalesce(a.c_custkey, b.c_custkey) IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
 def reference_by_id_else_key(spark, sf_dir):
     orders, customer = load(spark, sf_dir, "orders", "customer")
-    by_id = customer.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_custkey").alias("a"))
+    by_id = customer.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), F.col("c_custkey").alias("a"))
     by_key = customer.groupBy((F.col("c_custkey") % 1000).alias("k")).agg(F.min("c_custkey").alias("b"))
     out = orders.select("o_orderkey", "o_custkey", (F.col("o_custkey") % 1000).alias("k")).join(by_id, "o_custkey", "left").join(by_key, "k", "left")
     shown = customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("entity"))

@@ -57,22 +57,22 @@ def canonical_spellings(spark, sf_dir):
     return publishers.canonical(part.select("p_partkey", F.upper("p_type").alias("t")), "t", table, "publisher").select("p_partkey", "publisher")
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN chr((65 + n_nationkey)::INTEGER) || 'X' END AS code FROM nation")
+@query("SELECT n_nationkey, CASE WHEN n_regionkey <> 3 THEN chr((65 + n_nationkey)::INTEGER) || 'X' END AS code FROM nation")
 def country_codes(spark, sf_dir):
     (nation,) = load(spark, sf_dir, "nation")
     code = F.concat(F.char(F.lit(65) + F.col("n_nationkey")), F.lit("X"))
-    table = nation.where("n_nationkey % 5 <> 0").select(code.alias("code"), F.col("n_name").alias("name"))
+    table = nation.where("n_regionkey <> 3").select(code.alias("code"), F.col("n_name").alias("name"))
     seen = nation.select("n_nationkey", F.concat(F.lit("the "), F.initcap("n_name"), F.lit(".")).alias("given"))
     return publishers.country_codes(seen, "given", table, "code").select("n_nationkey", "code")
 
 
 @query("""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents WHERE lang = 'en'), x AS (SELECT doc_id, unnest(w) AS phrase, generate_subscripts(w, 1) - 1 AS pos FROM d),
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS phrase, generate_subscripts(w, 1) - 1 AS pos FROM d),
 c AS (SELECT doc_id, phrase, count(*) AS n, min(pos)::INTEGER AS first_at FROM x GROUP BY 1, 2)
 SELECT doc_id, phrase, n, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_at, phrase) AS rank FROM c) WHERE rank <= 3""")
 def top_mentions(spark, sf_dir):
     (docs,) = load(spark, sf_dir, "documents")
-    words = docs.where("lang = 'en'").select("doc_id", F.posexplode(T.ascii_tokens(F.col("text"))).alias("at", "phrase"))
+    words = docs.select("doc_id", F.posexplode(T.ascii_tokens(F.col("text"))).alias("at", "phrase"))
     counts = words.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"))
     return match.top_mentions(counts, "doc_id", 3).select("doc_id", "phrase", "n", "rank")
 

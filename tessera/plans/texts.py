@@ -27,13 +27,13 @@ def url_title_guess(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT lower(trim(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '[^a-zA-Z0-9]+', ' ', 'g'), ' +', ' ', 'g'))) AS title_key FROM documents WHERE lang = 'en')
+WITH t AS (SELECT lower(trim(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '[^a-zA-Z0-9]+', ' ', 'g'), ' +', ' ', 'g'))) AS title_key FROM documents)
 SELECT title_key, count(*) AS n FROM t WHERE title_key <> '' GROUP BY 1 HAVING count(*) > 1""")
 def title_dedupe_key_groups(spark, sf_dir):
     (docs,) = load(spark, sf_dir, "documents")
     first = F.split("text", "\n", 2)[0]
     key = F.lower(F.trim(F.regexp_replace(first, "[^a-zA-Z0-9]+", " ")))
-    return docs.where("lang = 'en'").groupBy(key.alias("title_key")).agg(F.count(F.lit(1)).alias("n")).where("title_key <> '' AND n > 1")
+    return docs.groupBy(key.alias("title_key")).agg(F.count(F.lit(1)).alias("n")).where("title_key <> '' AND n > 1")
 
 
 @query()
@@ -65,20 +65,20 @@ _WORDS = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
 
 
 @query(f"""
-WITH w AS (SELECT unnest({_WORDS}) AS token FROM documents WHERE lang = 'en') SELECT token, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 20""")
+WITH w AS (SELECT unnest({_WORDS}) AS token FROM documents) SELECT token, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 20""")
 def token_ordinary_words(spark, sf_dir):
     (docs,) = load(spark, sf_dir, "documents")
-    return match.token_counts(docs.where("lang = 'en'"), T.ascii_tokens(F.col("text")), 20)
+    return match.token_counts(docs, T.ascii_tokens(F.col("text")), 20)
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE lang = 'en'),
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d),
 o AS (SELECT w[i] AS token, doc_id, bool_or(coalesce((i > 1 AND w[i - 1] IN ('the', 'of')) OR w[i + 1] IN ('the', 'of'), false)) AS beside FROM x GROUP BY 1, 2)
 SELECT token, count(*) AS n_docs, count(*) FILTER (beside) AS n_context FROM o GROUP BY 1 HAVING count(*) >= 5""")
 def context_counts(spark, sf_dir):
     (docs,) = load(spark, sf_dir, "documents")
-    words = docs.where("lang = 'en'").select("doc_id", T.ascii_tokens(F.col("text")).alias("w"))
+    words = docs.select("doc_id", T.ascii_tokens(F.col("text")).alias("w"))
     return match.context_counts(words, "doc_id", "w", ["the", "of"]).where("n_docs >= 5")
 
 
@@ -93,11 +93,16 @@ def term_mining(spark, sf_dir):
     return match.mine_terms(words.where("lang = 'de'"), "term", "doc_id", "source", "n_chars", words.where("lang = 'en'"))
 
 
+def _item_runs(bench, n: int):
+    """(item_id, phrase): every run of n words of the items."""
+    runs = bench.select("item_id", F.explode(ngrams(T.ascii_tokens(F.col("text")), n)).alias("r"))
+    return runs.where(F.col("r.n") == n).select("item_id", F.col("r.phrase").alias("phrase"))
+
+
 def _benchmark_phrases(bench):
-    """The first three words of each item, as phrases; items of even id name nothing and only consume their words."""
-    tokens = T.ascii_tokens(F.col("text"))
-    rows = bench.select("item_id", F.array_join(F.slice(tokens, 1, 3), " ").alias("phrase"))
-    return rows.groupBy("phrase").agg(F.min("item_id").alias("i")).select("phrase", F.when(F.col("i") % 2 == 1, F.col("i")).alias("entity"))
+    """Runs of three words of the items as phrases; those of even items name nothing and only consume their words."""
+    rows = _item_runs(bench, 3).groupBy("phrase").agg(F.min("item_id").alias("i"))
+    return rows.select("phrase", F.when(F.col("i") % 2 == 1, F.col("i")).alias("entity"))
 
 
 @query()
@@ -108,14 +113,13 @@ def phrase_mentions(spark, sf_dir):
 
 
 @query(f"""
-WITH b AS (SELECT DISTINCT array_to_string(({_WORDS})[1:4], ' ') AS phrase FROM benchmark),
-d AS (SELECT doc_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS t, len({_WORDS}) AS n FROM documents)
-SELECT doc_id, phrase FROM d JOIN b ON contains(t, ' ' || phrase || ' ') WHERE n > 4""")
+WITH i AS (SELECT {_WORDS} AS w FROM benchmark), b AS (SELECT DISTINCT unnest([array_to_string(w[k:k + 3], ' ') FOR k IN generate_series(1, len(w) - 3)]) AS phrase FROM i),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[k:k + 3], ' ') FOR k IN generate_series(1, len(w) - 3)]) AS phrase FROM d WHERE len(w) > 4)
+SELECT doc_id, phrase FROM g JOIN b USING (phrase)""")
 def containment_match(spark, sf_dir):
     docs, bench = load(spark, sf_dir, "documents", "benchmark")
-    phrases = bench.select(F.array_join(F.slice(T.ascii_tokens(F.col("text")), 1, 4), " ").alias("phrase"))
     words = docs.select("doc_id", T.ascii_tokens(F.col("text")).alias("w"))
-    return match.containment_join(words, "doc_id", "w", phrases)
+    return match.containment_join(words, "doc_id", "w", _item_runs(bench, 4).select("phrase"), 4)
 
 
 @query(f"""
