@@ -113,3 +113,11 @@ def compare_sets(left: DataFrame, right: DataFrame, entity: str, item: str) -> D
     return both.groupBy(entity).agg(
         F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("n_both"), F.count_if(F.col("r").isNull()).alias("n_left_only"), F.count_if(F.col("l").isNull()).alias("n_right_only")
     )
+
+
+def missing_text(rule: str, df: DataFrame, key: str, text: str, phrases: list[str]) -> DataFrame:
+    """Documents that lack one of the phrases they must carry."""
+    there = F.lit(True)
+    for p in phrases:
+        there = there & F.col(text).contains(p)
+    return broken_rule(rule, df, key, there)

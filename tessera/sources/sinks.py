@@ -88,3 +88,9 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_replace("path", r"^.*/", "")
     return files.select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(~name.startswith("_") & ~name.startswith(".")).orderBy("file")
+
+
+def notice(credits: DataFrame, title: str) -> str:
+    """The attribution text: a line for each source (ord, source, credit), in the order of the catalogue."""
+    lines = [f"{r['source']}: {r['credit']}" for r in credits.orderBy("ord").collect()]  # one row for each source
+    return "\n".join([title, "", *lines, ""])

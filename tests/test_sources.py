@@ -100,3 +100,14 @@ def test_sinks(spark, tmp_path):
         sinks.publish(spark, {"t": df.limit(0)}, str(tmp_path / "out"), [bad])
     assert sinks.published(spark, str(tmp_path / "out"), "t").count() == 3
     assert sinks.manifest(spark, str(tmp_path / "shards")).count() == 3
+
+
+def test_notice_carries_its_credits(spark):
+    from tessera.operators.checks import missing_text
+
+    credits = spark.createDataFrame([(2, "beta", "by B"), (1, "alpha", "by A")], "ord int, source string, credit string")
+    text = sinks.notice(credits, "Credits")
+    assert text == "Credits\n\nalpha: by A\nbeta: by B\n"
+    df = spark.createDataFrame([("NOTICE", text)], "f string, t string")
+    assert missing_text("credit", df, "f", "t", ["by A", "by B"]).count() == 0
+    assert [r["item"] for r in missing_text("credit", df, "f", "t", ["by C"]).collect()] == ["NOTICE"]
