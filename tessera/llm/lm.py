@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import crc_mod, materialise, mix64, text_bytes, tokenise
 
 MASS = 1000.0  # M: how many observations the lower order counts for
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 RANGE_KEYS = 500_000  # keys that a range holds before blocks are added up, about
 END = np.uint64(0x51ED270B7A5C9E13)
 
