@@ -20,8 +20,9 @@ from tessera.llm.common import crc_mod, text_bytes, tokenise
 
 BITS = 18
 MAX_LABELLED = 20_000
-MAX_TERMS, MIN_SEEN, MIN_Z = 4096, 4, 3.3
-FACTORS, EPOCHS, BATCH, RATE = 4, 40, 256, 0.3
+MAX_TERMS, MIN_SEEN, MIN_Z = 4096, 4, 4.0
+FEW_TERMS, FEW_Z = 64, 3.0  # so many terms are taken at a lower bar where few pass the other
+FACTORS, EPOCHS, STEPS, BATCH, RATE = 4, 30, 1500, 256, 0.3
 SPLIT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
@@ -70,8 +71,9 @@ def choose(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
     pos, seen = np.bincount(bucket, y[doc], 1 << BITS), np.bincount(bucket, minlength=1 << BITS)
     neg, n1, n0 = seen - pos, y.sum(), (1 - y).sum()
     z = (np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    kept = np.flatnonzero((seen >= MIN_SEEN) & (np.abs(z) >= MIN_Z))
-    return kept[np.lexsort((kept, -np.abs(z[kept])))][:MAX_TERMS]
+    kept = np.flatnonzero((seen >= MIN_SEEN) & (np.abs(z) >= FEW_Z))
+    kept = kept[np.lexsort((kept, -np.abs(z[kept])))]
+    return kept[: min(MAX_TERMS, max(FEW_TERMS, int((np.abs(z[kept]) >= MIN_Z).sum())))]
 
 
 def fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, seed: int = 7) -> FactorMachine:
@@ -93,7 +95,7 @@ def fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, seed: int = 7) -> Fa
     rng, rate, decay = np.random.default_rng(seed), RATE, 1e-4
     gw, gv, gb = np.full_like(m.w, 1e-2), np.full_like(m.v, 1e-2), 1e-2
     rows = np.flatnonzero(train)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(1, len(rows))))):
         rng.shuffle(rows)
         for k in range(0, len(rows), BATCH):
             own = rows[k : k + BATCH]
