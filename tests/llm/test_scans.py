@@ -91,6 +91,18 @@ def test_every_template_confirms_itself():
         assert licenses.template_license(name) in [x[0] for x in s.scan(text)], name
 
 
+def test_notices_of_one_block_are_confirmed_each(make_docs):
+    nc, prose = "Licensed under CC BY-NC 4.0.", " ".join(f"word{i}" for i in range(3000))
+    texts = [
+        licenses.TEMPLATES["MIT"] + "\n" + nc,
+        " ".join([prose, nc, prose, licenses.TEMPLATES["MIT"].replace("limitation", "any limits"), licenses.TEMPLATES["Apache-2.0"], prose]),
+        f"{nc} {nc} Licensed under CC BY 4.0.",
+        licenses.TEMPLATES["GPL-3.0-long"].replace("version 3", "version 4"),
+    ]
+    got = {r["doc_id"]: (r["licenses"], r["n_confirmed"], r["n_changed_words"]) for r in licenses.scan_licenses(make_docs(list(enumerate(texts)))).collect()}
+    assert got == {0: ("CC-BY-NC-4.0,MIT", 2, 0), 1: ("Apache-2.0,CC-BY-NC-4.0,MIT", 3, 3), 2: ("CC-BY-4.0,CC-BY-NC-4.0", 3, 0), 3: ("", 0, 0)}
+
+
 # --- line dedup ------------------------------------------------------------------------------------------------------------
 
 
