@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -103,6 +104,16 @@ def test_notices_of_one_block_are_confirmed_each(make_docs):
     assert got == {0: ("CC-BY-NC-4.0,MIT", 2, 0), 1: ("Apache-2.0,CC-BY-NC-4.0,MIT", 3, 3), 2: ("CC-BY-4.0,CC-BY-NC-4.0", 3, 0), 3: ("", 0, 0)}
 
 
+@pytest.mark.parametrize("lead", ["", "// ", " * ", "# ", "dnl "])
+@pytest.mark.parametrize("near", [False, True])
+def test_wrapped_notices(make_docs, lead, near):
+    prose = ["and here the", "prose goes on"] if near else [""]
+    wrapped = {(k, w): textwrap.wrap(v, w, break_long_words=False) for k, v in licenses.TEMPLATES.items() for w in (30, 72)}
+    rows = [(i, "\n".join(lead + x for x in [*prose, *lines, *prose])) for i, lines in enumerate(wrapped.values())]
+    got = {r["doc_id"]: (r["n_blocks"], r["licenses"], r["n_confirmed"], r["n_changed_words"]) for r in licenses.scan_licenses(make_docs(rows)).collect()}
+    assert got == {i: (1, licenses.template_license(k), 1, 0) for i, (k, _) in enumerate(wrapped)}
+
+
 # --- line dedup ------------------------------------------------------------------------------------------------------------
 
 
