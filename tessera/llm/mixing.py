@@ -67,19 +67,24 @@ def fair_queue(sizes: DataFrame) -> DataFrame:
     finish = lambda k: F.when(F.col("target") > 0, (first + k * F.col("source_size")) / F.col("target")).otherwise(F.lit(2.0))
     queued = queued.withColumn("__finish", F.array(*[finish(k) for k in range(PASSES)]))
     queued = materialise(queued.drop("__in", "__ahead", "__bin"))
-    # Truncate at the budget: sums per bin of finish time, then running sums within the one bin where the budget ends.
+    # Truncate at the budget: sums per bin of finish time, then running sums within the one bin where the budget ends. Late
+    # finish times, of documents far larger than their source's target, have bins by their logarithm, so bins stay few.
     copies = queued.where(F.col("size") > 0).select("doc_id", "size", "__src", "__digest", F.explode("__finish").alias("__f"))
-    copies = copies.where(F.col("__f") <= 1.5).withColumn("__slot", F.floor(F.col("__f") * BINS).cast("int"))
-    slots = copies.groupBy("__slot").agg(F.sum("size").alias("__n"))
-    filled = slots.withColumn("__to", F.sum("__n").over(Window.orderBy("__slot")))
+    late = 2 * BINS + F.floor(F.log2(F.col("__f") / 2) * BINS)
+    copies = copies.withColumn("__slot", F.when(F.col("__f") <= 2, F.floor(F.col("__f") * BINS)).otherwise(late).cast("long"))
+    slots = copies.groupBy("__slot").agg(F.sum("size").alias("__n"), F.max("__f").alias("__last"))
+    order = Window.orderBy("__slot")
+    filled = slots.withColumns({"__to": F.sum("__n").over(order), "__end": F.lag("__last").over(order)})
     budget = (queued.agg(F.sum("size")).first()[0] or 0) * SHARE
     last = filled.where(F.col("__to") > budget).orderBy("__slot").first()
-    slot, before = (last["__slot"], last["__to"] - last["__n"]) if last else (1 << 30, 0)
-    cut = copies.where(F.col("__slot") == slot).withColumn("__to", F.sum("size").over(Window.orderBy("__f", "__src", "__digest", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) + before)
-    end = cut.where(F.col("__to") <= budget).agg(F.max("__f")).first()[0]
-    limit = slot / BINS if end is None else end
-    fits = (lambda f: f < limit) if end is None else (lambda f: f <= limit)
-    taken = sum((F.when(fits(F.col("__finish")[k]), F.col("size")).otherwise(0) for k in range(PASSES)), F.lit(0))
+    end = None
+    if last:  # always but for tables without words, as two passes exceed the budget
+        cut = copies.where(F.col("__slot") == last["__slot"])
+        cut = cut.withColumn("__to", F.sum("size").over(Window.orderBy("__f", "__src", "__digest", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) + (last["__to"] - last["__n"]))
+        end = cut.where(F.col("__to") <= budget).agg(F.max("__f")).first()[0]
+        end = last["__end"] if end is None else end
+    limit = -1.0 if end is None else end
+    taken = sum((F.when(F.col("__finish")[k] <= limit, F.col("size")).otherwise(0) for k in range(PASSES)), F.lit(0))
     return queued.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 

@@ -6,6 +6,7 @@ import pytest
 
 from tessera.llm.mixing import mix_documents, take_mix
 from tessera.llm.quality import filter_quality, fit, posterior_bad, quality_rules
+from tessera.llm.queries import oracle_sql
 from tessera.llm.sharding import shard_documents
 
 # --- quality -------------------------------------------------------------------------------------------------------------
@@ -155,6 +156,24 @@ def test_mix_meets_its_targets(make_docs):
     assert sorted((x["doc_id"], x["taken"]) for x in again) == sorted((x["doc_id"], x["taken"]) for x in got)
 
 
+@pytest.mark.parametrize("rows", [
+    [(i, "w " * 10, "a") for i in range(50)] + [(100, "w " * 900, "b")] + [(200 + i, "w " * 10, "c") for i in range(20)],
+    [(1, "w " * 100, "a"), (2, "w " * 100, "b")],
+    [(1, "w " * 7, "a")],
+    [(i, "w", "a") for i in range(9)] + [(20, "w " * 5000, "b"), (21, "w " * 3, "c"), (22, "w " * 4000, None)],
+])
+def test_mix_of_single_large_documents_equals_sql(make_docs, rows):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    want = con.execute(f"select doc_id, size, taken from ({oracle_sql()['op4_mixing']})").fetchall()
+    got = [(x["doc_id"], x["size"], x["taken"]) for x in mix_documents(make_docs(rows)).collect()]
+    assert sorted(got) == sorted(want)
+    assert sum(x[2] for x in got) <= 1.5 * sum(x[1] for x in got)
+
+
 def test_take_mix_repeats_rows(make_docs):
     rows = [(i, f"one two three {i}", "a" if i % 3 else "b") for i in range(40)]
     df = make_docs(rows)
