@@ -264,8 +264,9 @@ def _tiled(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
                 cx, cy = (np.array([r["comp"] for r in z], dtype=object) for z in (x, y))
                 near = 100 * np.minimum(nx[:, None], ny[None, :]) >= percent * np.maximum(nx[:, None], ny[None, :])
                 near &= cx[:, None] != cy[None, :]
-                # A row without a sketch has counts that bound nothing.
+                # Beside a sketch, a row without one bounds nothing; two such rows share as many as the smaller set has at most.
                 kx, ky = (np.stack([np.full(SKETCH, 255, np.uint8) if r["sketch"] is None else unpack_numbers(r["sketch"]) for r in z]) for z in (x, y))
+                bare_x, bare_y = (np.array([r["sketch"] is None for r in z]) for z in (x, y))
                 p, q = np.nonzero(near)
                 for s in range(0, len(p), 1 << 14):
                     u, v = p[s : s + (1 << 14)], q[s : s + (1 << 14)]
@@ -274,6 +275,7 @@ def _tiled(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
                     ok = (same.sum(1) >= LIKELY) & ~met
                     u, v = u[ok], v[ok]
                     share = np.minimum(kx[u], ky[v]).sum(1, dtype=np.int64)
+                    share = np.where(bare_x[u] & bare_y[v], np.minimum(nx[u], ny[v]), share)
                     ok = 100 * share >= percent * (nx[u] + ny[v] - share)
                     pairs.update(tuple(sorted((x[i]["node"], y[j]["node"]))) for i, j in zip(u[ok], v[ok], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([z[0] for z in pairs], pa.binary()), pa.array([z[1] for z in pairs], pa.binary())], ["a", "b"])

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from tessera.llm import neardup
 from tessera.llm.neardup import keep_one, near_duplicates
 
 
@@ -76,3 +77,16 @@ def test_keep_one_keeps_columns_and_one_row(make_docs):
     out = keep_one(df)
     assert out.columns == df.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 4, 5]
+
+
+@pytest.mark.parametrize("words", [100, 600])
+def test_tiles_compare_rows_without_sketch(spark, make_docs, monkeypatch, words):
+    """One bucket holds no more than 254 shingles here: longer texts have no sketch, as very long ones have none otherwise."""
+    monkeypatch.setattr(neardup, "SKETCH", 1)
+    text = " ".join(f"w{i}" for i in range(words))
+    docs = make_docs([(1, text), (2, text + " more"), (3, " ".join(f"v{i}" for i in range(words)))])
+    nodes = neardup.document_sets(docs, 2)
+    members = nodes.selectExpr("node", "0 AS tree", "0L AS key", "20L AS n", "node AS comp")
+    found = neardup._tiled(members, nodes, neardup._active_sets(docs, nodes.select("node"), 2), 80)
+    ids = {bytes(r["node"]): r["doc_id"] for r in nodes.collect()}
+    assert [{ids[bytes(r["a"])], ids[bytes(r["b"])]} for r in found.collect()] == [{1, 2}]
