@@ -87,8 +87,8 @@ def _sliced(texts: list[bytes], most: int = 2 << 20):
         yield begin, len(texts)
 
 
-def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node (set digest) and signature of every document."""
+def document_sets(docs: DataFrame, k: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, node (set digest) and signature of every document, and carried text columns."""
 
     def made(batches):
         import pyarrow as pa
@@ -99,9 +99,9 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
                 values, starts = shingle_sets(texts[i:j], k)
                 sig = signatures(values, starts)
                 cols = [b.column(0)[i:j], pa.array(np.diff(starts), pa.int64()), pa.array(digests(values, starts), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([*cols, *[b.column(2 + c)[i:j] for c in range(len(carried))]], ["doc_id", "n_shingles", "node", "sig", *carried])
 
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, n_shingles long, node binary, sig binary")
+    return docs.select("doc_id", "text", *carried).mapInArrow(made, ", ".join(["doc_id long, n_shingles long, node binary, sig binary", *[f"{c} string" for c in carried]]))
 
 
 def _prefixes(nodes: DataFrame, depths: tuple[int, ...], trees: bool = False) -> DataFrame:
@@ -283,11 +283,8 @@ def _tiled(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
     return both.mapInArrow(compared, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row per row of docs."""
-    sets = materialise(document_sets(docs, k))
-    nodes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("min_doc"), F.max("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
-    nodes = materialise(nodes)
+def _components(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Nodes with comp, their group (themselves where they have no link)."""
     rows = _prefixes(nodes.select("node", "sig"), (DEPTH,))
     members = materialise(rows.join(_regions(rows, "xxhash64(node)"), ["tree", "depth", "key"]))
     active = members.select("node").distinct()
@@ -314,7 +311,15 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     last = _confirmed(_tiled(mixed, nodes, full, percent).join(tried, ["a", "b"], "left_anti"), full, percent)
     if not last.isEmpty():
         comps = components(links.unionByName(last))
-    found = nodes.select("node", "min_doc").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, one row per row of docs."""
+    sets = materialise(document_sets(docs, k))
+    nodes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("min_doc"), F.max("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
+    nodes = materialise(nodes)
+    found = _components(docs, nodes, k, percent).select("node", "min_doc", "comp")
     smallest = found.groupBy("comp").agg(F.min("min_doc").alias("component_id"))
     named = found.select("node", "comp").join(smallest, "comp").select("node", "component_id")
     out = sets.select("doc_id", "n_shingles", "node").join(named, "node", "left")
@@ -323,12 +328,20 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each near-duplicate group (that of the smallest id), and all rows without words or without id."""
-    kept = near_duplicates(docs, k, percent).where(F.col("kept") & F.col("doc_id").isNotNull())
-    kept = kept.groupBy("doc_id").agg(F.min(F.col("n_shingles") == 0).alias("empty"))
-    # Rows that repeat an id: one of them, by the digest of the text. Join and window share one exchange.
-    rows = packed_rows(docs, doc_id=F.col("doc_id"), digest=F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("digest"))
-    held = rows.where(F.col("doc_id").isNotNull()).join(kept, "doc_id").withColumn("place", place)
-    held = held.where((F.col("place") == 1) | F.col("empty"))
-    return unpacked_rows(held.select("row").unionByName(rows.where(F.col("doc_id").isNull()).select("row")), docs)
+    """docs with one row of each near-duplicate group, and all rows without words.
+
+    The row is that of the smallest id, of rows that share it the one with the smaller digest of the text; rows without id
+    come last. Every row is judged by its own text, whatever other rows share its id.
+    """
+    # Id and text tell rows apart as far as a verdict can differ.
+    row_key = F.concat(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.coalesce(F.concat(F.lit("s"), F.col("doc_id").cast("string")), F.lit("n")))
+    sets = materialise(document_sets(docs.withColumn("__key", row_key), k, ("__key",)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key"))
+    nodes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(first.alias("first"), F.max("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
+    nodes = materialise(nodes)
+    chosen = _components(docs, nodes, k, percent).groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first.__key").alias("__key"), F.lit(False).alias("empty"))
+    kept = chosen.union(sets.where(F.col("node").isNull()).select("__key", F.lit(True)).distinct())
+    # Rows that repeat id and text: one of them. Join and window share one exchange.
+    rows = packed_rows(docs, __key=row_key)
+    held = rows.join(kept, "__key").withColumn("place", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
+    return unpacked_rows(held.where((F.col("place") == 1) | F.col("empty")).select("row"), docs)

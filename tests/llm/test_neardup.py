@@ -90,3 +90,11 @@ def test_tiles_compare_rows_without_sketch(spark, make_docs, monkeypatch, words)
     found = neardup._tiled(members, nodes, neardup._active_sets(docs, nodes.select("node"), 2), 80)
     ids = {bytes(r["node"]): r["doc_id"] for r in nodes.collect()}
     assert [{ids[bytes(r["a"])], ids[bytes(r["b"])]} for r in found.collect()] == [{1, 2}]
+
+
+def test_keep_one_judges_each_row(make_docs):
+    same, near = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(41))
+    clean, other = " ".join(f"c{i}" for i in range(40)), " ".join(f"o{i}" for i in range(40))
+    rows = [(1, same), (2, near), (2, clean), (3, other), (3, clean + " end"), (None, other), (None, "a b c d e f g h"), (None, "a b c d e f g h"), (None, "i j k l m n o"), (4, ""), (4, "")]
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in keep_one(make_docs(rows)).collect())
+    assert got == sorted([(1, same), (2, clean), (3, other), (0, "a b c d e f g h"), (0, "i j k l m n o"), (4, ""), (4, "")])
