@@ -1,17 +1,21 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures.
 
 A document's set is that of its distinct k-word shingles. Documents of equal sets are one node from the start, so exact
-copies, however many, cost one row. Every node has a signature of 64 MinHash values and stands in TREES orders of it, each
-starting at values of its own; nodes that share an order's first DEPTH values form a region.
+copies, however many, cost one row. Every node has a signature of 64 MinHash values and stands in TREES sorted orders, each
+by the signature turned to start at values of its own. Nodes that share an order's first DEPTH values form a region.
 
-Candidates are found region by region. Every node is compared with its region's pivot; regions with many nodes are entered
-deeper (longer common prefixes), where each sub-region has a pivot of its own, so that the nearest neighbours in the order
-are compared. Regions whose nodes then belong to different groups are compared again with other pivots, and what is still
-apart after that is compared in full across the groups, by signatures, in tiles of bounded size. Candidates whose signatures
-or set sizes leave links impossible (or, for signatures, less likely than about 1 in 50,000) are passed over; all others
-are confirmed on the full sets. A pair at the similarity of 0.8 is missed by all 16 orders with probability 0.0002.
+Candidates are neighbours in an order: no node has a longer common prefix with a node than with the one that stands beside
+it, so in a crowded region only the nearest are compared (depth 64 where copies are many) and in a thin one any that share
+DEPTH values. The first FIRST orders come first; of the others, only neighbours whose groups are still apart are compared.
+Then regions that hold several groups are compared in full across the groups, by signatures, in tiles of bounded size, the
+likeliest pair of two groups before the others. All candidates are confirmed on the full sets.
 
-Groups are the connected components of confirmed links, found by label propagation over tables in the shared folder.
+What can be missed: a pair that shares no region (0.0002 of pairs at the limit of 0.8, fewer above), and one whose signatures
+agree in fewer than LIKELY values (0.00002 of such pairs). Nothing is capped: an order that puts other nodes between two
+near ones, or a task's end, only leaves them to the comparison across groups.
+
+Groups are the connected components of confirmed links: links are first reduced to a forest within each task, then labels
+spread over tables in the shared folder. Links inside a known group are dropped, and of those between two groups one counts.
 
 Defined results. Null text, or text without words: empty set, linked with nothing. Fewer than k words: the whole sequence is
 one shingle. Null doc_id: a document like any other, never the smallest. Repeated rows: one group, each row returned. Empty
@@ -22,7 +26,7 @@ keep_one().
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, mix64, packed_rows, text_bytes, tokenise, unpacked_rows
@@ -30,10 +34,9 @@ from tessera.llm.lm import pack_numbers, unpack_numbers
 
 SHINGLE, PERCENT = 5, 80
 VALUES, TREES, DEPTH = 64, 16, 4
-DEEPER = (6, 9, 14, 24, 64)
-LARGE = 12  # nodes from which a region is entered deeper
-LIKELY = 38  # of 64 equal values: fewer are 4.2 standard deviations below a similarity of 0.8
-TILE = 512
+FIRST = 4  # orders whose neighbours are joined before the others are looked at
+LIKELY = 38  # of 64 equal values: at a similarity of 0.8, 51 are expected, and fewer than 38 come once in about 50,000 pairs
+TILE, SKETCH = 512, 4096
 
 _R = np.random.default_rng(20240229)
 _XOR = _R.integers(1 << 63, size=VALUES, dtype=np.uint64)
@@ -87,77 +90,90 @@ def _sliced(texts: list[bytes], most: int = 2 << 20):
         yield begin, len(texts)
 
 
-def document_sets(docs: DataFrame, k: int, carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, node (set digest) and signature of every document, and carried text columns."""
+def row_key() -> Column:
+    """What tells rows apart as far as id and text do."""
+    return F.concat(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.coalesce(F.concat(F.lit("s"), F.col("doc_id").cast("string")), F.lit("n")))
+
+
+def document_sets(docs: DataFrame, k: int) -> DataFrame:
+    """key, doc_id, n_shingles, node (set digest) and signature of every document of a table that has its key."""
 
     def made(batches):
         import pyarrow as pa
 
         for b in batches:
-            texts = text_bytes(b.column(1))
+            texts = text_bytes(b.column(2))
             for i, j in _sliced(texts):
                 values, starts = shingle_sets(texts[i:j], k)
                 sig = signatures(values, starts)
-                cols = [b.column(0)[i:j], pa.array(np.diff(starts), pa.int64()), pa.array(digests(values, starts), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*cols, *[b.column(2 + c)[i:j] for c in range(len(carried))]], ["doc_id", "n_shingles", "node", "sig", *carried])
-
-    return docs.select("doc_id", "text", *carried).mapInArrow(made, ", ".join(["doc_id long, n_shingles long, node binary, sig binary", *[f"{c} string" for c in carried]]))
+                cols = [b.column(0)[i:j], b.column(1)[i:j], pa.array(np.diff(starts), pa.int64()), pa.array(digests(values, starts), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["__key", "doc_id", "n_shingles", "node", "sig"])
 
+    return docs.select("__key", "doc_id", "text").mapInArrow(made, "__key string, doc_id long, n_shingles long, node binary, sig binary")
 
-def _prefixes(nodes: DataFrame, depths: tuple[int, ...], trees: bool = False) -> DataFrame:
-    """(node, tree, depth, key) for each of the depths; with trees, only for the row's own tree."""
 
-    def made(batches):
-        import pyarrow as pa
+def region_members(nodes: DataFrame) -> DataFrame:
+    """(node, tree, region, n) for every order in which a node shares its first DEPTH values with others; n nodes do."""
+    start = 2 * DEPTH * F.col("tree") + 1
+    rows = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.select("node", "tree", F.xxhash64("tree", F.substring("sig", start, F.lit(2 * DEPTH))).alias("region"))
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return materialise(rows.join(sizes, "region").select("node", "tree", "region", "n"))
 
-        for b in batches:
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint16).reshape(b.num_rows, VALUES)
-            own = b.column(2).to_numpy() if trees else None
-            for tree in range(TREES):
-                rows = np.flatnonzero(own == tree) if trees else np.arange(b.num_rows)
-                if not len(rows):
-                    continue
-                turned = np.roll(sig[rows], -DEPTH * tree, axis=1)
-                for depth in depths:
-                    key = np.zeros(len(rows), dtype=np.uint64)
-                    for v in range(depth):
-                        key = mix64(key * np.uint64(5) + turned[:, v] + np.uint64(1))
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(np.full(n, tree), pa.int32()), pa.array(np.full(n, depth), pa.int32()), pa.array(key.view(np.int64), pa.int64())], ["node", "tree", "depth", "key"])
 
-    return nodes.mapInArrow(made, "node binary, tree int, depth int, key long")
+def neighbours(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, tree): pairs that stand next to each other in an order with a common prefix of DEPTH values or more.
 
+    Every order is sorted by its turned signature and dealt out by range, node and all, so that no region is bound to a
+    task. Pairs that sizes or signatures rule out are passed over. Neighbours that the end of a task's range parts are left
+    to the comparison across groups.
+    """
+    start = 2 * DEPTH * F.col("tree") + 1
+    turned = F.concat(F.substring("sig", start, F.lit(2 * VALUES)), F.substring("sig", F.lit(1), start - 1))
+    rows = members.select("node", "tree").join(nodes.select("node", "n_shingles", "sig"), "node").select("tree", turned.alias("order"), "node", "n_shingles")
+    rows = rows.repartitionByRange("tree", "order", "node").sortWithinPartitions("tree", "order", "node")
 
-def _regions(rows: DataFrame, order: str) -> DataFrame:
-    """Size and pivot of every region of at least two nodes; the pivot is the first in a scrambled order."""
-    first = F.min(F.struct(F.expr(order).alias("o"), "node"))
-    return rows.groupBy("tree", "depth", "key").agg(F.count(F.lit(1)).alias("n"), first.alias("p")).where(F.col("n") > 1).select("tree", "depth", "key", "n", F.col("p.node").alias("pivot"))
+    def near(batches):
+        import pyarrow as pa
 
+        last = None
+        for b in batches:
+            if last is not None:
+                b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint16).reshape(b.num_rows, VALUES)
+            tree, n = b.column(0).to_numpy(), b.column(3).to_numpy()
+            same = sig[1:] == sig[:-1]
+            held = (tree[1:] == tree[:-1]) & same[:, :DEPTH].all(1) & (same.sum(1) >= LIKELY)
+            held &= 100 * np.minimum(n[1:], n[:-1]) >= percent * np.maximum(n[1:], n[:-1])
+            at = np.flatnonzero(held)
+            x, y = b.column(2).take(pa.array(at)).to_pylist(), b.column(2).take(pa.array(at + 1)).to_pylist()
+            pairs = [(p, q) if p < q else (q, p) for p, q in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.binary()), pa.array([q for _, q in pairs], pa.binary()), pa.array(tree[at], pa.int32())], ["a", "b", "tree"])
+            last = b.slice(b.num_rows - 1)
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """Distinct unordered pairs of a node and its pivot."""
-    p = members.where(F.col("node") != F.col("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    return p.distinct()
+    return rows.mapInArrow(near, "a binary, b binary, tree int").groupBy("a", "b").agg(F.min("tree").alias("tree"))
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes and signatures leave a link possible."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "s_a", "s_b")
+def member_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The packed sets of the nodes that share a region with another: only one document of each is read again."""
+    keys = members.select("node").distinct().join(nodes.select("node", F.col("first.__key").alias("__key")), "node").select("__key")
+    rows = docs.select("__key", "text").join(keys, "__key", "left_semi").dropDuplicates(["__key"]).select("text")
 
-    def kept(batches):
+    def made(batches):
         import pyarrow as pa
 
         for b in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint16).reshape(b.num_rows, VALUES) for c in (b.column(2), b.column(3)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((x == y).sum(1) >= LIKELY))
+            texts = text_bytes(b.column(0))
+            for i, j in _sliced(texts):
+                values, starts = shingle_sets(texts[i:j], k)
+                packed = [pack_numbers(np.diff(values[p:q], prepend=np.uint64(0))) for p, q in zip(starts, starts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(digests(values, starts), pa.binary()), pa.array(packed, pa.binary())], ["node", "set"])
 
-    return both.mapInArrow(kept, "a binary, b binary")
+    return materialise(rows.mapInArrow(made, "node binary, set binary"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets overlap as asked; written, as the groups are computed from them more than once."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets overlap as asked, written."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def kept(batches):
@@ -165,8 +181,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         for b in batches:
             good = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.cumsum(unpack_numbers(x), dtype=np.uint64), np.cumsum(unpack_numbers(y), dtype=np.uint64)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.cumsum(unpack_numbers(z.as_py()), dtype=np.uint64) for z in (x, y))
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -174,31 +190,42 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(both.select("a", "b", "x", "y").mapInArrow(kept, "a binary, b binary"))
 
 
-def _active_sets(docs: DataFrame, active: DataFrame, k: int) -> DataFrame:
-    """The packed sets of the nodes that share a region with another."""
+def _forest(links: DataFrame) -> DataFrame:
+    """For the links of each task, its nodes with the smallest node that the task's links join them to: fewer, shorter paths."""
 
-    def made(batches):
+    def joined(batches):
         import pyarrow as pa
 
+        up: dict[bytes, bytes] = {}
+
+        def root(x):
+            top = x
+            while (nxt := up.get(top, top)) != top:
+                top = nxt
+            while x != top:
+                up[x], x = top, up.get(x, x)
+            return top
+
         for b in batches:
-            texts = text_bytes(b.column(0))
-            for i, j in _sliced(texts):
-                values, starts = shingle_sets(texts[i:j], k)
-                packed = [pack_numbers(np.diff(values[p:q], prepend=np.uint64(0))) for p, q in zip(starts, starts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests(values, starts), pa.binary()), pa.array(packed, pa.binary())], ["node", "set"])
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        nodes = list(up)
+        for i in range(0, len(nodes), 10_000):
+            own = nodes[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([root(x) for x in own], pa.binary())], ["src", "dst"])
 
-    every = docs.select("text").mapInArrow(made, "node binary, set binary").where(F.col("node").isNotNull())
-    # One row of each set: copies of a document give equal rows, so any of them will do. The rows of a node are at most
-    # salted by the join's own skew handling; the grouping adds up before it shuffles.
-    return materialise(every.join(active, "node", "left_semi").groupBy("node").agg(F.min("set").alias("set")))
+    return links.select("a", "b").mapInArrow(joined, "src binary, dst binary").where("src != dst")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) for every node of a link; comp is the smallest node of the connected component.
+    """(node, comp) for every node of a link (a, b); comp is the smallest node of the connected component.
 
     Each round a node takes the smallest label among its own and its neighbours', and then its label's label.
     """
-    edges = materialise(links.select("a", "b").union(links.select("b", "a")).toDF("src", "dst"))
+    forest = _forest(links)
+    edges = materialise(forest.union(forest.select("dst", "src")).distinct())
     labels = materialise(edges.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("comp")).withColumnRenamed("src", "node"))
     while True:
         spread = edges.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("comp").alias("near"))
@@ -210,14 +237,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _grouped(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members with their group so far (themselves where they have no link), of regions that hold several groups."""
-    own = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = own.groupBy("tree", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("tree", "key")
-    return own.join(mixed, ["tree", "key"], "left_semi")
+def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs of two groups, with these as ca and cb."""
+    side = lambda x: groups.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("ca") != F.col("cb"))
 
 
-SKETCH = 4096
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups after links between them; of the links between two groups one counts."""
+    if links.isEmpty():
+        return groups
+    between = across(links.select("a", "b"), groups).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+    names = components(between.distinct()).select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    out = groups.join(names, F.col("comp") == F.col("old"), "left")
+    return materialise(out.select("node", F.coalesce("new", "comp").alias("comp")))
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
@@ -231,34 +264,43 @@ def _sketches(sets: DataFrame) -> DataFrame:
 
         for b in batches:
             out = []
-            for x in b.column(1).to_pylist():
-                c = np.bincount((np.cumsum(unpack_numbers(x), dtype=np.uint64) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+            for x in b.column(1):
+                c = np.bincount((np.cumsum(unpack_numbers(x.as_py()), dtype=np.uint64) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
                 out.append(pack_numbers(c.astype(np.uint8)) if c.max(initial=0) < 255 else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["node", "sketch"])
 
     return sets.select("node", "set").mapInArrow(made, "node binary, sketch binary")
 
 
-def _tiled(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs across the groups of every mixed region, compared tile by tile.
+def mixed_members(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of regions that hold several groups, with their group and their part (tile) of the region."""
+    own = members.join(groups, "node")
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    held = own.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(tiles).alias("tiles")).where(F.col("lo") != F.col("hi"))
+    held = held.select("region", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    own = own.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    return own.join(held, ["region", "tile"], "left_semi").select("node", "tree", "region", "comp", "tile", "tiles")
+
+
+def tiled(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb, same): pairs across the groups of every mixed region that sizes, signatures and sketches leave possible.
 
-    In large regions, where outliers of a dense group resemble many nodes without reaching any, a pair's sketches must also
-    leave a link possible. A pair is told in its first common region only.
+    Regions are compared tile by tile, and a pair is told in its first common region only.
     """
-    large = mixed.where(F.col("n") >= LARGE).select("node").distinct()
-    sketches = materialise(_sketches(sets.join(large, "node", "left_semi")))
-    rows = mixed.join(nodes.select("node", "n_shingles", "sig"), "node").join(sketches, "node", "left")
-    rows = rows.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    packed = rows.groupBy("tree", "key", "tile", "tiles").agg(F.collect_list(F.struct("node", "comp", "n_shingles", "sketch", "sig")).alias("held"))
-    left = packed.select("tree", "key", F.col("held").alias("x"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("tile"))
-    both = left.join(packed.select("tree", "key", "tile", F.col("held").alias("y")), ["tree", "key", "tile"]).select("x", "y", "tree")
+    sketches = _sketches(sets.join(mixed.select("node").distinct(), "node", "left_semi"))
+    facts = materialise(nodes.select("node", "n_shingles", "sig").join(sketches, "node"))
+    rows = mixed.join(facts, "node")
+    packed = rows.groupBy("region", "tree", "tile", "tiles").agg(F.collect_list(F.struct("node", "comp", "n_shingles", "sketch", "sig")).alias("held"))
+    left = packed.select("region", "tree", F.col("held").alias("x"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("tile"))
+    both = left.join(packed.select("region", "tile", F.col("held").alias("y")), ["region", "tile"]).select("x", "y", "tree")
 
     def compared(batches):
         import pyarrow as pa
 
         for b in batches:
-            pairs = set()
-            for x, y, tree in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            pairs: dict[tuple[bytes, bytes], tuple[bytes, bytes, int]] = {}
+            for x, y, tree in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
+                x, y = x.as_py(), y.as_py()
                 sx, sy = (np.frombuffer(b"".join(r["sig"] for r in z), dtype=np.uint16).reshape(len(z), VALUES) for z in (x, y))
                 nx, ny = (np.array([r["n_shingles"] for r in z]) for z in (x, y))
                 cx, cy = (np.array([r["comp"] for r in z], dtype=object) for z in (x, y))
@@ -270,57 +312,57 @@ def _tiled(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
                 p, q = np.nonzero(near)
                 for s in range(0, len(p), 1 << 14):
                     u, v = p[s : s + (1 << 14)], q[s : s + (1 << 14)]
-                    same = sx[u] == sy[v]
-                    met = same.reshape(len(u), TREES, DEPTH).all(2)[:, :tree].any(1)
-                    ok = (same.sum(1) >= LIKELY) & ~met
-                    u, v = u[ok], v[ok]
+                    equal = sx[u] == sy[v]
+                    same = equal.sum(1)
+                    met = equal.reshape(len(u), TREES, DEPTH).all(2)[:, :tree].any(1)
+                    ok = (same >= LIKELY) & ~met
+                    u, v, same = u[ok], v[ok], same[ok]
                     share = np.minimum(kx[u], ky[v]).sum(1, dtype=np.int64)
                     share = np.where(bare_x[u] & bare_y[v], np.minimum(nx[u], ny[v]), share)
                     ok = 100 * share >= percent * (nx[u] + ny[v] - share)
-                    pairs.update(tuple(sorted((x[i]["node"], y[j]["node"]))) for i, j in zip(u[ok], v[ok], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([z[0] for z in pairs], pa.binary()), pa.array([z[1] for z in pairs], pa.binary())], ["a", "b"])
+                    for i, j, c in zip(u[ok].tolist(), v[ok].tolist(), same[ok].tolist(), strict=True):
+                        r, o = sorted((x[i], y[j]), key=lambda z: z["node"])
+                        pairs[r["node"], o["node"]] = (r["comp"], o["comp"], c)
+            cols = [[k[0] for k in pairs], [k[1] for k in pairs], [v[0] for v in pairs.values()], [v[1] for v in pairs.values()], [v[2] for v in pairs.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.binary()] * 4, pa.int32()), strict=True)], ["a", "b", "ca", "cb", "same"])
 
-    return both.mapInArrow(compared, "a binary, b binary").distinct()
+    return both.mapInArrow(compared, "a binary, b binary, ca binary, cb binary, same int")
 
 
-def _components(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+def node_groups(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """Nodes with comp, their group (themselves where they have no link)."""
-    rows = _prefixes(nodes.select("node", "sig"), (DEPTH,))
-    members = materialise(rows.join(_regions(rows, "xxhash64(node)"), ["tree", "depth", "key"]))
-    active = members.select("node").distinct()
-    full = _active_sets(docs, active, k)
-    large = members.where(F.col("n") >= LARGE).select("node", "tree").join(nodes.select("node", "sig"), "node").select("node", "sig", "tree")
-    deep = _prefixes(large, DEEPER, trees=True)
-    deep = deep.join(_regions(deep, "xxhash64(node, tree, depth)"), ["tree", "depth", "key"])
-    # Of the sub-regions that a node shares with others in an order, the deepest holds its nearest neighbours.
-    deepest = deep.groupBy("node", "tree").agg(F.max_by("pivot", "depth").alias("pivot"))
-    tried = materialise(_pairs(members.select("node", "pivot").union(deepest.select("node", "pivot"))))
-    links = _confirmed(_likely(tried, nodes, percent), full, percent)
-    comps = components(links)
-    # Other pivots where groups still share a region, then everything across groups.
-    mixed = _grouped(members, comps).where(F.col("n") > 2)
-    again = mixed.withColumn("depth", F.lit(0)).drop("pivot")
-    again = again.join(_regions(again, "xxhash64(tree, node)"), ["tree", "depth", "key"]).drop("n")
-    heads = again.select(F.col("node").alias("pivot"), "tree", "key", F.col("comp").alias("pivot_comp")).where(F.col("node") == F.col("pivot"))
-    apart = again.drop("depth").join(heads.drop("node"), ["tree", "key", "pivot"]).where(F.col("comp") != F.col("pivot_comp"))
-    second = _confirmed(_likely(_pairs(apart).join(tried, ["a", "b"], "left_anti"), nodes, percent), full, percent)
-    if not second.isEmpty():
-        links = links.unionByName(second)
-        comps = components(links)
-    mixed = _grouped(members, comps).where(F.col("n") > 2).select("node", "tree", "key", "n", "comp")
-    last = _confirmed(_tiled(mixed, nodes, full, percent).join(tried, ["a", "b"], "left_anti"), full, percent)
-    if not last.isEmpty():
-        comps = components(links.unionByName(last))
-    return nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    members = region_members(nodes)
+    sets = member_sets(docs, nodes, members, k)
+    groups = members.select("node").distinct().select("node", F.col("node").alias("comp"))
+    tried = materialise(neighbours(members, nodes, percent))
+    # The first orders join most of what belongs together; of the others, only pairs that are still apart are looked at.
+    groups = merged(groups, confirmed(tried.where(F.col("tree") < FIRST).select("a", "b"), sets, percent))
+    later = across(tried.where(F.col("tree") >= FIRST).select("a", "b"), groups).select("a", "b")
+    groups = merged(groups, confirmed(later, sets, percent))
+    # What still shares a region but no group: the likeliest pair of two groups first, then what is left apart.
+    apart = materialise(tiled(mixed_members(members, groups), nodes, sets, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    if not apart.isEmpty():
+        ca, cb = F.least("ca", "cb"), F.greatest("ca", "cb")
+        best = apart.groupBy(ca.alias("ca"), cb.alias("cb")).agg(F.max(F.struct("same", "a", "b")).alias("top")).select("top.a", "top.b")
+        groups = merged(groups, confirmed(best, sets, percent))
+        rest = across(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), groups).select("a", "b")
+        groups = merged(groups, confirmed(rest, sets, percent))
+    return nodes.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _nodes(sets: DataFrame) -> DataFrame:
+    """A row for each distinct set that is not empty; `first` has its row of the smallest id, null last."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("first")
+    return materialise(sets.where(F.col("node").isNotNull()).groupBy("node").agg(first, F.max("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of docs."""
+    docs = docs.select("doc_id", "text", row_key().alias("__key"))
     sets = materialise(document_sets(docs, k))
-    nodes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("min_doc"), F.max("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
-    nodes = materialise(nodes)
-    found = _components(docs, nodes, k, percent).select("node", "min_doc", "comp")
-    smallest = found.groupBy("comp").agg(F.min("min_doc").alias("component_id"))
+    nodes = _nodes(sets)
+    found = node_groups(docs, nodes, k, percent).select("node", F.col("first.doc_id").alias("least"), "comp")
+    smallest = found.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = found.select("node", "comp").join(smallest, "comp").select("node", "component_id")
     out = sets.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
@@ -333,15 +375,12 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
     The row is that of the smallest id, of rows that share it the one with the smaller digest of the text; rows without id
     come last. Every row is judged by its own text, whatever other rows share its id.
     """
-    # Id and text tell rows apart as far as a verdict can differ.
-    row_key = F.concat(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.coalesce(F.concat(F.lit("s"), F.col("doc_id").cast("string")), F.lit("n")))
-    sets = materialise(document_sets(docs.withColumn("__key", row_key), k, ("__key",)))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key"))
-    nodes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(first.alias("first"), F.max("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
-    nodes = materialise(nodes)
-    chosen = _components(docs, nodes, k, percent).groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first.__key").alias("__key"), F.lit(False).alias("empty"))
+    own = docs.select("doc_id", "text", row_key().alias("__key"))
+    sets = materialise(document_sets(own, k))
+    nodes = _nodes(sets)
+    chosen = node_groups(own, nodes, k, percent).groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first.__key").alias("__key"), F.lit(False).alias("empty"))
     kept = chosen.union(sets.where(F.col("node").isNull()).select("__key", F.lit(True)).distinct())
     # Rows that repeat id and text: one of them. Join and window share one exchange.
-    rows = packed_rows(docs, __key=row_key)
+    rows = packed_rows(docs, __key=row_key())
     held = rows.join(kept, "__key").withColumn("place", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
     return unpacked_rows(held.where((F.col("place") == 1) | F.col("empty")).select("row"), docs)

@@ -85,10 +85,13 @@ def test_tiles_compare_rows_without_sketch(spark, make_docs, monkeypatch, words)
     monkeypatch.setattr(neardup, "SKETCH", 1)
     text = " ".join(f"w{i}" for i in range(words))
     docs = make_docs([(1, text), (2, text + " more"), (3, " ".join(f"v{i}" for i in range(words)))])
-    nodes = neardup.document_sets(docs, 2)
-    members = nodes.selectExpr("node", "0 AS tree", "0L AS key", "20L AS n", "node AS comp")
-    found = neardup._tiled(members, nodes, neardup._active_sets(docs, nodes.select("node"), 2), 80)
-    ids = {bytes(r["node"]): r["doc_id"] for r in nodes.collect()}
+    docs = docs.select("doc_id", "text", neardup.row_key().alias("__key"))
+    sets = neardup.document_sets(docs, 2)
+    nodes = neardup._nodes(sets)
+    members = nodes.selectExpr("node", "0 AS tree", "0L AS region", "3L AS n")
+    mixed = neardup.mixed_members(members, nodes.selectExpr("node", "node AS comp"))
+    found = neardup.tiled(mixed, nodes, neardup.member_sets(docs, nodes, members, 2), 80)
+    ids = {bytes(r["node"]): r["doc_id"] for r in sets.collect()}
     assert [{ids[bytes(r["a"])], ids[bytes(r["b"])]} for r in found.collect()] == [{1, 2}]
 
 
