@@ -40,9 +40,13 @@ def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn(f"{P}lines", F.filter(F.split(t, "\n", -1), lambda x: F.translate(x, SPACES, "") != ""))
     hashes = F.transform(F.col(f"{P}words"), lambda x: F.xxhash64(x))
     df = df.withColumn(f"{P}hash", hashes)
-    h = F.col(f"{P}hash")
-    windows = F.when(F.size(h) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
-    df = df.withColumn(f"{P}win", F.coalesce(windows, F.array().cast("array<bigint>")))
+    # Hashes of 2, 4 and then 8 words on from each word: every step joins two of the step before.
+    h, step = F.col(f"{P}hash"), 1
+    while step < WINDOW:
+        later = F.slice(h, step + 1, F.greatest(F.size(h) - step, F.lit(0)))
+        df = df.withColumn(f"{P}by{2 * step}", F.zip_with(F.slice(h, 1, F.size(later)), later, lambda x, y: F.xxhash64(x, y)))
+        h, step = F.col(f"{P}by{2 * step}"), 2 * step
+    df = df.withColumn(f"{P}win", h)
     w = F.col(f"{P}win")
     ranked = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     df = df.withColumn(f"{P}ranked", F.when(F.size(F.array_distinct(w)) < F.size(w), ranked))
@@ -52,7 +56,7 @@ def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
     at = F.col(f"{P}at")
     steps = F.zip_with(F.slice(at, 2, F.size(at)), F.slice(at, 1, F.size(at) - 1), lambda a, b: F.least(F.lit(WINDOW), a - b))
     covered = F.aggregate(steps, F.lit(WINDOW), lambda acc, x: acc + x)
-    lines, words = F.col(f"{P}lines"), F.col(f"{P}words")
+    lines, words, longest = F.col(f"{P}lines"), F.col(f"{P}words"), max(map(len, FUNCTION_WORDS))
     df = df.withColumns(
         {
             "n_words": F.size(words).cast("long"),
@@ -62,7 +66,7 @@ def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
             "n_repeat_words": F.coalesce(F.when(F.size(at) > 0, covered), F.lit(0)).cast("long"),
             f"{P}n_lines": F.size(lines),
             f"{P}upper": F.length(t) - F.length(F.translate(t, string.ascii_uppercase, "")),
-            f"{P}stop": F.size(F.filter(words, lambda x: lower_ascii(x).isin(FUNCTION_WORDS))),
+            f"{P}stop": F.size(F.filter(words, lambda x: (F.length(x) <= longest) & lower_ascii(x).isin(FUNCTION_WORDS))),
         }
     )
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
@@ -93,7 +97,8 @@ def vote_columns(df: DataFrame) -> DataFrame:
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[tuple[float, float]]]:
     """Prior of bad, and for each rule the chance of a bad vote given a good and a bad document, by EM over pattern counts.
 
-    The start takes any bad vote for a sign of a bad document; estimates are smoothed by one vote either way.
+    The start takes any bad vote for a sign of a bad document. Estimates are smoothed by one bad vote of 20 on good documents
+    and one of two on bad ones.
     """
     if not patterns:
         return 0.5, []
@@ -146,10 +151,7 @@ def quality_rules(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = (
 
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs whose verdict is kept, with their own columns."""
-    voted = vote_columns(base_columns(docs.select(F.col(text).alias("text"))))
-    prior, rates = _fitted(voted)
-    inner = packed_rows(docs, text=F.col(text)).withColumnRenamed("row", f"{P}row")
-    # The row number keeps the optimizer from pushing the condition, and so a copy of every count, below the counts.
-    judged = vote_columns(base_columns(inner)).withColumn("p_good", _posterior_good(prior, rates)).withColumn(f"{P}at_row", F.monotonically_increasing_id())
-    judged = judged.where((F.col(f"{P}at_row") >= 0) & ~F.col("base_failed") & (F.col("p_good") >= 0.5))
-    return unpacked_rows(judged.select(F.col(f"{P}row").alias("row")), docs)
+    votes = [f"{P}v_{k}" for k in rules()]
+    voted = vote_columns(base_columns(packed_rows(docs, text=F.col(text)).withColumnRenamed("row", f"{P}row")))
+    voted = materialise(voted.select(F.col(f"{P}row").alias("row"), "base_failed", *votes))  # counted once; the votes stand beside the row
+    return unpacked_rows(voted.where(~F.col("base_failed") & (_posterior_good(*_fitted(voted)) >= 0.5)).select("row"), docs)
