@@ -9,12 +9,16 @@ Running sums are made from sums per bin (of the shuffle digest within a source,
 within a bin, so that neither a hot source nor the global order meets in one task.
 
 Defined results. Null or empty text: size 0, nothing taken. A source without words: target 0. Empty table: empty result.
-Repeated rows with equal id and size are told apart only by their count: all copies of one (id, source) share a bin and are
-taken in a fixed order. Extra columns are carried by take_mix() only.
+Ties of finish time are broken by source and digest. Rows that repeat id and source share a bin and are taken in a fixed order of size;
+which of several equal rows is taken more often is left open, how often they are taken together is not. Texts of any length
+count whole; one that exceeds its source's target is taken if its finish time comes before the cut. Null ids are ids like
+any other. Extra columns are ignored by mix_documents() and carried by take_mix().
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +26,7 @@ from tessera.llm.common import materialise, packed_rows, unpacked_rows, word_arr
 
 WEIGHTS = (3, 1, 2)
 SHARE, PASSES = 1.5, 2
-BINS = 4096
+BIN_ROWS, LEAST_DIGITS = 50_000, 3  # rows that a bin holds, about; hex digits of the digest that name the fewest bins
 
 
 def shuffle_key(doc_id: Column) -> Column:
@@ -56,7 +60,10 @@ def fair_queue(sizes: DataFrame) -> DataFrame:
     """sizes (doc_id, source, size) with source_size, target and taken, the words that the mix takes of the row."""
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     rows = sizes.withColumn("__src", key).withColumn("__digest", shuffle_key(F.col("doc_id")))
-    rows = materialise(rows.withColumn("__bin", F.substring("__digest", 1, 3)))
+    rows = materialise(rows)
+    digits = max(LEAST_DIGITS, math.ceil(math.log(max(1, rows.count()) / BIN_ROWS, 16)))
+    bins_wide = 16**digits
+    rows = rows.withColumn("__bin", F.substring("__digest", 1, digits))
     goal = targets(rows).withColumn("__src", key)
     bins = rows.groupBy("__src", "__bin").agg(F.sum("size").alias("__n"))
     ahead = bins.select("__src", "__bin", (F.sum("__n").over(Window.partitionBy("__src").orderBy("__bin")) - F.col("__n")).alias("__ahead"))
@@ -70,8 +77,8 @@ def fair_queue(sizes: DataFrame) -> DataFrame:
     # Truncate at the budget: sums per bin of finish time, then running sums within the one bin where the budget ends. Late
     # finish times, of documents far larger than their source's target, have bins by their logarithm, so bins stay few.
     copies = queued.where(F.col("size") > 0).select("doc_id", "size", "__src", "__digest", F.explode("__finish").alias("__f"))
-    late = 2 * BINS + F.floor(F.log2(F.col("__f") / 2) * BINS)
-    copies = copies.withColumn("__slot", F.when(F.col("__f") <= 2, F.floor(F.col("__f") * BINS)).otherwise(late).cast("long"))
+    late = 2 * bins_wide + F.floor(F.log2(F.col("__f") / 2) * bins_wide)
+    copies = copies.withColumn("__slot", F.when(F.col("__f") <= 2, F.floor(F.col("__f") * bins_wide)).otherwise(late).cast("long"))
     slots = copies.groupBy("__slot").agg(F.sum("size").alias("__n"), F.max("__f").alias("__last"))
     order = Window.orderBy("__slot")
     filled = slots.withColumns({"__to": F.sum("__n").over(order), "__end": F.lag("__last").over(order)})
@@ -85,7 +92,8 @@ def fair_queue(sizes: DataFrame) -> DataFrame:
         end = last["__end"] if end is None else end
     limit = -1.0 if end is None else end
     taken = sum((F.when(F.col("__finish")[k] <= limit, F.col("size")).otherwise(0) for k in range(PASSES)), F.lit(0))
-    return queued.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    extra = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
+    return queued.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *extra)
 
 
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
@@ -95,8 +103,16 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", i
 
 def take_mix(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes them."""
-    mixed = mix_documents(docs).where(F.col("taken") > 0).select(F.col("doc_id").alias("id"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    times = mixed.groupBy("id").agg(F.max("times").alias("times"))
-    rows = packed_rows(docs, doc_id=F.col("doc_id"))
-    out = rows.join(times, F.col("doc_id").eqNullSafe(F.col("id")))
-    return unpacked_rows(out.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")), docs)
+    # Id, source and text tell rows apart; of rows equal in these, the mix says only how often they are taken together.
+    told = F.struct(F.col("doc_id"), F.col("source"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    key = F.md5(F.to_json(told).cast("binary"))
+    sizes = docs.select("doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size"), key.alias("__key"))
+    mixed = fair_queue(sizes).where(F.col("taken") > 0)
+    mixed = mixed.groupBy("__key").agg(F.sum(F.col("taken") / F.col("size")).cast("long").alias("times"))
+    rows = packed_rows(docs, __key=key).join(mixed, "__key")
+    own = Window.partitionBy("__key").orderBy("__key")
+    rows = rows.withColumns({"__nth": F.row_number().over(own) - 1, "__rows": F.count(F.lit(1)).over(Window.partitionBy("__key"))})
+    # `times` dealt out to the equal rows as evenly as can be.
+    each = F.floor(F.col("times") / F.col("__rows")) + (F.col("__nth") < F.col("times") % F.col("__rows")).cast("long")
+    out = rows.withColumn("__each", each.cast("int")).where(F.col("__each") > 0)
+    return unpacked_rows(out.select("row", F.explode(F.sequence(F.lit(1), F.col("__each"))).alias("copy")), docs)
