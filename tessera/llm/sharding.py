@@ -1,29 +1,32 @@
 """Sharding by minimax contiguous partition (native).
 
 Documents of equal text form an atomic group. Groups stand in the order of their text's digest; the smallest capacity for
-which a greedy left-to-right filling needs at most n shards is found by binary search, and the order is cut there.
+which a greedy left-to-right filling needs at most n shards is found by binary search, and the order is cut there. Where
+cuts that even out the shards keep to that capacity, they are taken, as greedy filling leaves the last shard short.
 
-Running sums over groups are made in two steps (sums per digest prefix, then sums within a prefix), so no task sees all
-groups. While the groups near possible cuts are many, the search asks the table of running sums for "the last group that
-ends at or before x", for several capacities in one pass; once they are at most MAX_ENDS, the driver finishes with them.
+The driver sees groups by the first digits of their digest: size and number of groups of each prefix. Two greedy fillings
+bound the answer: one that may cut anywhere within a prefix, one that never does. Only prefixes that a cut can fall into are
+looked at with two more digits, the largest REFINED of them in a round, until every cut lies between known groups. A round
+reads the table of groups once and brings 256 * REFINED rows at most, so the search is the same for every size of table.
 
-Defined results. Null text: no bytes, grouped with empty texts. Empty table: empty result. Repeated rows: each takes a slot
-of its own, in its text's shard. One group larger than the even share makes a shard as large as that group. Extra columns
-are ignored.
+Defined results. Null text: no bytes, grouped with empty texts. Empty table: empty result. Null doc_id: a row like any
+other, first in its shard. Repeated rows: each takes a slot of its own, in its text's shard. One group larger than the even
+share makes a shard as large as that group. Texts of any length count whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
 
-PREFIX = 3  # hex digits of the digest: 4,096 partial sums
-PROBES = 31  # capacities tried in a round over the table
-MAX_ENDS = 100_000  # group ends that the driver may hold to finish the search
+DIGITS, MORE_DIGITS = 3, 2  # hex digits of the digest: of the first prefixes, and how many more when looked at closer
+REFINED = 256
+BIN_ROWS = 50_000  # rows that a bin of slots holds, about
 
 
 def _digest(text: Column) -> Column:
@@ -31,86 +34,108 @@ def _digest(text: Column) -> Column:
 
 
 def group_table(docs: DataFrame, text: str = "text") -> DataFrame:
-    """key, bytes and running end of every group of equal texts, in key order."""
+    """key and bytes of every group of equal texts."""
     rows = docs.select(_digest(F.col(text)).alias("key"), (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).cast("long").alias("size"))
-    groups = materialise(rows.groupBy("key").agg(F.sum("size").alias("bytes")).withColumn("part", F.substring("key", 1, PREFIX)))
-    sums = groups.groupBy("part").agg(F.sum("bytes").alias("__sum"))
-    before = sums.select("part", (F.sum("__sum").over(Window.orderBy("part")) - F.col("__sum")).alias("__before"))
-    inside = F.sum("bytes").over(Window.partitionBy("part").orderBy("key"))
-    ended = groups.join(before, "part").withColumn("end", F.col("__before") + inside)
-    return materialise(ended.select("key", "bytes", "end"))
-
-
-def _last_ends(groups: DataFrame, targets: list[int], widest: int) -> list[int]:
-    """For each target the largest group end at or below it; 0 where none is."""
-    near = F.lit(False)
-    for x in set(targets):
-        near = near | F.col("end").between(x - widest, x)
-    row = groups.where(near).agg(*[F.max(F.when(F.col("end") <= x, F.col("end"))).alias(f"c{i}") for i, x in enumerate(targets)]).first()
-    return [v or 0 for v in row]
-
-
-def _cuts(groups: DataFrame, capacities: list[int], shards: int, widest: int) -> list[list[int]]:
-    """Greedy shard ends for each capacity, all capacities in step."""
-    ends: list[list[int]] = [[0] for _ in capacities]
-    for _ in range(shards):
-        for own, last in zip(ends, _last_ends(groups, [own[-1] + c for own, c in zip(ends, capacities, strict=True)], widest), strict=True):
-            own.append(max(last, own[-1]))
-    return [own[1:] for own in ends]
+    return materialise(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
 
 
-def minimax_ends(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
-    """The smallest feasible capacity and the running ends of its shards."""
-    total, widest = groups.agg(F.max("end"), F.max("bytes")).first()
-    if not total:
-        return 0, [0] * shards
-    low = max(widest, -(-total // shards))  # below it nothing is feasible
-    high = low + widest  # a greedy shard leaves less than one group of its capacity unused
-    while low < high:
-        # The i-th greedy shard of a capacity c ends above i * (c - widest) and at or below i * c: only ends there matter.
-        near = F.lit(False)
-        for i in range(1, shards + 1):
-            near = near | F.col("end").between(i * (low - widest), i * high)
-        few = groups.where(near).select("end")
-        if few.count() <= MAX_ENDS:
-            return _finish(sorted(r["end"] for r in few.collect()), low, high, shards, total)
-        step = max(1, -(-(high - low) // PROBES))
-        tried = sorted({*range(low, high, step), high})
-        found = _cuts(groups, tried, shards, widest)
-        k = next(i for i, own in enumerate(found) if own[-1] >= total)
-        low, high = (tried[k - 1] + 1 if k else tried[0]), tried[k]
-    return low, _cuts(groups, [low], shards, widest)[0]
-
-
-def _finish(ends: list[int], low: int, high: int, shards: int, total: int) -> tuple[int, list[int]]:
-    """The binary search over the ends that can matter between two capacities."""
-
-    def cuts(capacity: int) -> list[int]:
-        own = [0]
-        for _ in range(shards):
-            own.append(max(own[-1], ends[bisect_right(ends, own[-1] + capacity) - 1] if ends else 0))
-        return own[1:]
+class Prefixes:
+    """Prefixes of digests in order, with the bytes and number of their groups; those of one group cannot be cut."""
+
+    def __init__(self, groups: DataFrame):
+        self.groups = groups
+        self.rows = self._read(groups, DIGITS)
+
+    @staticmethod
+    def _read(groups: DataFrame, digits: int) -> dict[str, tuple[int, int]]:
+        sums = groups.groupBy(F.substring("key", 1, digits).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+        return {r["prefix"]: (r["bytes"], r["n"]) for r in sums.collect()}
+
+    def arrays(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Prefixes, running ends of their bytes from 0 on, and which of them are single groups."""
+        names = sorted(self.rows)
+        ends = np.concatenate(([0], np.cumsum([self.rows[x][0] for x in names], dtype=np.int64))).astype(np.int64)
+        return names, ends, np.array([self.rows[x][1] == 1 for x in names], dtype=bool)
+
+    def refine(self, names: list[str]) -> None:
+        names = sorted(names, key=lambda x: (-self.rows[x][0], x))[:REFINED]
+        for digits in sorted({len(x) for x in names}):
+            own = [x for x in names if len(x) == digits]
+            closer = self._read(self.groups.where(F.substring("key", 1, digits).isin(own)), digits + MORE_DIGITS)
+            for x in own:
+                del self.rows[x]
+            self.rows |= closer
+
 
+def greedy(ends: np.ndarray, single: np.ndarray, capacity: int, shards: int, anywhere: bool) -> list[int]:
+    """Ends of shards filled from left to right; with anywhere, prefixes of several groups may be cut at any byte."""
+    out, at = [], 0
+    for _ in range(shards):
+        k = int(np.searchsorted(ends, at + capacity, side="right")) - 1
+        at = at + capacity if anywhere and k < len(single) and not single[k] else int(ends[k])
+        out.append(at)
+    return out
+
+
+def _least(ends: np.ndarray, single: np.ndarray, shards: int, anywhere: bool, low: int) -> int:
+    high = int(ends[-1])
     while low < high:
         middle = (low + high) // 2
-        low, high = (low, middle) if cuts(middle)[-1] >= total else (middle + 1, high)
-    return low, cuts(low)
+        low, high = (low, middle) if greedy(ends, single, middle, shards, anywhere)[-1] >= ends[-1] else (middle + 1, high)
+    return low
+
+
+def evened(ends: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """Shard ends at the first prefix end past an even share of what is left, within the capacity."""
+    out, at, total = [], 0, int(ends[-1])
+    for left in range(shards, 0, -1):
+        even = int(np.searchsorted(ends, at + -(-(total - at) // left), side="left"))
+        at = int(ends[min(even, int(np.searchsorted(ends, at + capacity, side="right")) - 1)])
+        out.append(at)
+    return out
+
+
+def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str | None]]:
+    """The smallest feasible capacity, and for each shard the prefix that the next one begins with (None: no group is left)."""
+    total, widest = groups.agg(F.sum("bytes"), F.max("bytes")).first()
+    if not total:
+        return 0, [None] * shards
+    known = Prefixes(groups)
+    while True:
+        names, ends, single = known.arrays()
+        least = _least(ends, single, shards, True, max(widest, -(-total // shards)))
+        most = _least(ends, single, shards, False, least)
+        spans = list(zip(greedy(ends, single, least, shards, False), greedy(ends, single, most, shards, True), strict=True))
+        open_ = {k for a, b in spans for k in range(int(np.searchsorted(ends, a, "right")) - 1, min(int(np.searchsorted(ends, b, "left")), len(names))) if not single[k]}
+        if not open_:
+            break
+        known.refine([names[k] for k in open_])
+    while True:  # the capacity is known; the evened cuts need the groups around them
+        cuts = evened(ends, least, shards)
+        starts = [0, *cuts[:-1]]
+        marks = [x for at, left in zip(starts, range(shards, 0, -1), strict=True) for x in (at + -(-(total - at) // left), at + least) if at < x <= total]
+        open_ = {k for x in marks if (k := int(np.searchsorted(ends, x, side="left")) - 1) < len(names) and k >= 0 and not single[k]}
+        if not open_:
+            break
+        known.refine([names[k] for k in open_])
+        names, ends, single = known.arrays()
+    if cuts[-1] < total:
+        cuts = greedy(ends, single, least, shards, False)
+    return least, [names[k] if (k := int(np.searchsorted(ends, c, side="left"))) < len(names) else None for c in cuts]
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Every row of docs with its size, its shard and a gapless slot in that shard."""
     groups = group_table(docs, text)
-    _, ends = minimax_ends(groups, shards)
-    keys = {r["end"]: r["key"] for r in groups.where(F.col("end").isin(ends)).collect()}
+    _, cuts = minimax_cuts(groups, shards)
     t = F.coalesce(F.col(text), F.lit(""))
     shard = F.lit(0)
-    for e in ends[:-1]:  # documents past the last key of a shard belong to a later one
-        if e in keys:
-            shard = shard + (F.col("__key") > keys[e]).cast("int")
-        elif not e:
-            shard = shard + 1
+    for first in cuts[:-1]:  # a prefix comes before all digests that begin with it
+        if first is not None:
+            shard = shard + (F.col("__key") >= first).cast("int")
+    bins = 4 ** max(5, math.ceil(math.log(max(1, docs.count()) / shards / BIN_ROWS, 4)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(t).cast("long").alias("__b"), F.crc32(t.cast("binary")).alias("text_crc32"), _digest(F.col(text)).alias("__key"))
-    rows = rows.select("doc_id", (F.col("__b") + 1).alias("size"), "text_crc32", "__key", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(1024)).cast("int").alias("__bin"))
+    rows = rows.select("doc_id", (F.col("__b") + 1).alias("size"), "text_crc32", "__key", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(bins)).cast("long").alias("__bin"))
     counts = rows.groupBy("shard", "__bin").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select("shard", "__bin", (F.sum("__n").over(Window.partitionBy("shard").orderBy("__bin")) - F.col("__n")).alias("__off"))
     ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("shard", "__bin").orderBy("doc_id", "__key")) - 1)

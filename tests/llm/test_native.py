@@ -82,11 +82,12 @@ def least_capacity(sizes, shards):
     return low
 
 
-@pytest.mark.parametrize(("seed", "held"), [(0, 100_000), (1, 0), (2, 20)])
-def test_shards_are_the_minimax_partition(make_docs, monkeypatch, seed, held):
+@pytest.mark.parametrize(("seed", "digits", "refined"), [(0, 3, 256), (1, 1, 1), (2, 1, 3)])
+def test_shards_are_the_minimax_partition(make_docs, monkeypatch, seed, digits, refined):
     import hashlib
 
-    monkeypatch.setattr("tessera.llm.sharding.MAX_ENDS", held)
+    monkeypatch.setattr("tessera.llm.sharding.DIGITS", digits)
+    monkeypatch.setattr("tessera.llm.sharding.REFINED", refined)
     r = random.Random(seed)
     texts = ["é" * r.randint(0, 40) + str(r.randrange(60)) for _ in range(200)] + [None, "", "long " * 300]
     rows = [(i, t) for i, t in enumerate(texts)]
@@ -111,6 +112,22 @@ def test_shards_are_the_minimax_partition(make_docs, monkeypatch, seed, held):
         assert sorted(x["slot"] for x in got if x["shard"] == s) == list(range(sum(x["shard"] == s for x in got)))
 
 
+def test_shards_are_evened_within_the_capacity():
+    import numpy as np
+
+    from tessera.llm.sharding import evened, greedy
+
+    r = random.Random(9)
+    for _ in range(50):
+        ends = np.concatenate(([0], np.cumsum([r.randint(1, 9) for _ in range(200)])))
+        capacity = least_capacity(list(np.diff(ends)), 6)
+        cuts = evened(ends, capacity, 6)
+        sizes = np.diff([0, *cuts])
+        assert sizes.max() <= capacity and set(cuts) <= set(ends.tolist())
+        if cuts[-1] == ends[-1]:
+            assert sizes.min() >= np.diff([0, *greedy(ends, np.ones(200, bool), capacity, 6, False)]).min()
+
+
 def test_shards_of_few_rows(make_docs):
     assert shard_documents(make_docs([(1, "x")]).limit(0), 4).count() == 0
     got = shard_documents(make_docs([(1, "x"), (1, "x"), (None, "x"), (2, "y")]), 4).collect()
@@ -184,6 +201,24 @@ def test_take_mix_repeats_rows(make_docs):
     assert {i: ids.count(i) for i in taken} == taken
 
 
+def test_take_mix_tells_rows_of_one_id_apart(make_docs):
+    """Ids that repeat across sources, null ids and rows that repeat as a whole: every row as often as the mix takes it."""
+    r = random.Random(3)
+    rows = [(r.choice([1, 2, 3, None]), "w " * r.randint(1, 30) + str(i // 2 * 2), r.choice(["a", "b", "c", None])) for i in range(120)]
+    rows += [(7, "same words", "a")] * 9 + [(None, "same words", None)] * 5
+    df = make_docs(rows)
+    out = take_mix(df).collect()
+    words, kept = {}, {}
+    for x in mix_documents(df).collect():
+        words[x["doc_id"], x["source"], x["size"]] = words.get((x["doc_id"], x["source"], x["size"]), 0) + x["taken"]
+    for x in out:
+        k = x["doc_id"], x["source"], len(x["text"].split())
+        kept[k] = kept.get(k, 0) + k[2]
+    assert kept == {k: v for k, v in words.items() if v}
+    times = [sum(1 for y in out if tuple(y) == tuple(x)) for x in out if x["text"] == "same words" and x["doc_id"] == 7]
+    assert not times or times[0] <= 18
+
+
 def test_mix_of_no_rows(make_docs):
     assert mix_documents(make_docs([(1, "x")]).limit(0)).count() == 0
     assert [x["taken"] for x in mix_documents(make_docs([(1, None), (2, "")])).collect()] == [0, 0]
