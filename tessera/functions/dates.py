@@ -10,6 +10,8 @@ from tessera.functions.arrays import let
 # Fixed values.
 EARLIEST_YEAR = 1990
 UPLOAD_FOLDERS = r"(?i)/(?:wp-content|uploads?|media|files|assets|images?|img|static|download)/"
+ARCHIVED = r"(?i)^https?://web\.archive\.org/web/"
+PATH_DATE = r"/((?:19|20)\d{2})/(0[1-9]|1[0-2])(?:/(0[1-9]|[12]\d|3[01]))?(?=/|$|[?#])"
 # Evidence for a date, best first.
 DATE_BASES = ("library", "title-date", "url-date", "file-metadata", "capture", "ingest")
 OVERRIDE_DAYS = 365
@@ -33,15 +35,15 @@ def split_title_date(title: Column) -> Column:
 
 def url_date(url: Column) -> Column:
     """The date in a blog-style path, null below upload folders; archived addresses are read for what they wrap."""
-    path = F.regexp_replace(F.regexp_replace(url, r"(?i)^https?://web\.archive\.org/web/\d+[a-z_]*/", ""), r"(?i)^https?://[^/]+", "")
-    part = lambda k: F.regexp_extract(path, r"/((?:19|20)\d{2})/(0[1-9]|1[0-2])(?:/(0[1-9]|[12]\d|3[01]))?(?=/|$|[?#])", k)
+    path = F.regexp_replace(F.regexp_replace(url, ARCHIVED + r"\d+[a-z_]*/", ""), r"(?i)^https?://[^/]+", "")
+    part = lambda k: F.regexp_extract(path, PATH_DATE, k)
     found = parse_date(F.concat(part(1), F.lit("-"), part(2), F.when(part(3) != "", F.concat(F.lit("-"), part(3))).otherwise("")))
     return F.when(~path.rlike(UPLOAD_FOLDERS), found)
 
 
 def capture_date(url: Column) -> Column:
     """The day on which a web archive captured the page."""
-    part = lambda k: F.regexp_extract(url, r"(?i)^https?://web\.archive\.org/web/(\d{4})(\d{2})(\d{2})", k)
+    part = lambda k: F.regexp_extract(url, ARCHIVED + r"(\d{4})(\d{2})(\d{2})", k)
     return parse_date(F.concat_ws("-", part(1), part(2), part(3)))
 
 

@@ -17,7 +17,7 @@ def resemblance(names: DataFrame, reference: DataFrame, containment: bool) -> Da
     """(name, kind, similarity, target) of the closest reference entry (key, spelling, target); a name's own key never counts."""
     own = names.select("name", F.col("key").alias("own_key"), "w")
     ref = reference.select("key", "spelling", "target").distinct()
-    by_variant = match.variant_join(own.withColumn("v", T.spelling_variants("name")), "name", "v", ref).join(own.select("name", "own_key"), "name")
+    by_variant = match.variant_join(own.withColumn("v", T.spelling_variants(F.col("name"))), "name", "v", ref).join(own.select("name", "own_key"), "name")
     hits = by_variant.where(F.col("key") != F.col("own_key")).select("name", F.lit("variant").alias("kind"), F.lit(1.0).alias("similarity"), "target")
     near = match.fuzzy_join(own.select(F.col("own_key").alias("key")), ref, "key")
     fuzzy = near.join(own, F.col("left_key") == F.col("own_key")).join(ref, F.col("right_key") == ref["key"])

@@ -103,12 +103,26 @@ def three_state_counts(spark, sf_dir):
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count(flag).alias("n_known"), F.count_if(flag).alias("n_yes"), F.count_if(~flag).alias("n_no"), F.count_if(flag.isNull()).alias("n_unknown"))
 
 
-@query()
+@query(r"""
+WITH n AS (SELECT c_custkey, c_nationkey, 'Land' || translate(c_nationkey::VARCHAR, '0123456789', 'abcdefghij') AS who FROM customer),
+s AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN lower(who) || 'panda' WHEN 1 THEN 'uta' || (200 + c_nationkey) WHEN 2 THEN 'new' || lower(who) ELSE 'zor' || lower(who) END AS key,
+CASE c_custkey % 4 WHEN 0 THEN 'suffix' WHEN 1 THEN 'id' WHEN 2 THEN 'malware' ELSE 'camel' END AS shape,
+CASE c_custkey % 4 WHEN 0 THEN who || ' Panda' WHEN 1 THEN 'UTA-' || (200 + c_nationkey) WHEN 2 THEN 'New ' || who ELSE 'Zor' || who END AS spelling FROM n),
+k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS key FROM benchmark)
+SELECT key, count(DISTINCT c_custkey) AS n_titles, max(shape) AS shapes, max(spelling) AS spelling FROM s WHERE key NOT IN (SELECT key FROM k) GROUP BY 1 HAVING count(DISTINCT c_custkey) >= 2""")
 def title_name_shapes(spark, sf_dir):
-    docs, bench = load(spark, sf_dir, "documents", "benchmark")
-    titles = docs.select("doc_id", F.split("text", "\n", 2)[0].alias("title"))
+    """Names in titles made of customers' nation numbers: before an animal, as a label, before a kind of malware, in camel case."""
+    customer, bench = load(spark, sf_dir, "customer", "benchmark")
+    who = F.concat(F.lit("Land"), F.translate(F.col("c_nationkey").cast("string"), "0123456789", "abcdefghij"))
+    said = [
+        F.concat(F.lit("the return of "), who, F.lit(" Panda")),
+        F.concat(F.lit("more on UTA "), (F.col("c_nationkey") + 200).cast("string")),
+        F.concat(F.lit("inside New "), who, F.lit(" Stealer today")),
+        F.concat(F.lit("what a Zor"), who, F.lit(" does")),
+    ]
+    titles = customer.select("c_custkey", F.get(F.array(*said), (F.col("c_custkey") % 4).cast("int")).alias("title"))
     known = bench.select(F.explode(T.ascii_tokens(F.col("text"))).alias("key"))
-    return shapes.repeated_names(shapes.name_shapes(titles, "doc_id", "title"), "doc_id", known, 2).withColumn("shapes", F.array_join("shapes", ","))
+    return shapes.repeated_names(shapes.name_shapes(titles, "c_custkey", "title"), "c_custkey", known, 2).withColumn("shapes", F.array_join("shapes", ","))
 
 
 def _actor_records(spark, sf_dir):

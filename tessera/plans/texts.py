@@ -54,10 +54,31 @@ def id_extraction(spark, sf_dir):
     return docs.where(F.col("text").rlike("[0-9]")).select("doc_id", found("[0-9a-f]{40}").alias("digests"), found(r"[a-z0-9.]+@[a-z0-9]+\.[a-z.]+[a-z]").alias("mails"), found(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}").alias("addresses"))
 
 
-@query()
+# Texts with identifiers, well formed and not, by document number; Spark's pattern looks around a match, the SQL doubles
+# every character between words instead.
+_SAID = (
+    " See CVE-2021-4{n} and T1059.001.",
+    " xCVE-2021-44228, T1059.00 and T1059.0015",
+    " cve‑2020‑0601 by way of T1566.",
+    " CVE-2021-44228abc T1566abc _T1059 _CVE-2021-44228",
+    " CVE-2021-1234 cve-2021-1234 CVE-2019-9999,T1001 T1001.002",
+)
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, regexp_replace(translate(text || CASE doc_id % 6 {' '.join(f"WHEN {i} THEN replace('{x}', '{{n}}', lpad((doc_id % 1000)::VARCHAR, 3, '0'))" for i, x in enumerate(_SAID))} ELSE '' END, '‐‑‒–—−', '------'), '([^A-Za-z0-9_])', '\1\1', 'g') AS x FROM documents),
+f AS (SELECT doc_id, regexp_extract_all(upper(x), '(?:^|[^A-Z0-9_])(CVE--[0-9]{{4}}--[0-9]{{4,7}})(?:$|[^A-Z0-9_])', 1) AS c,
+regexp_extract_all(x, '(?:^|[^A-Za-z0-9_])(T[0-9]{{4}}(?:\.\.[0-9]{{3}})?)(?:$|[^A-Za-z0-9_.]|\.\.(?:$|[^0-9]))', 1) AS t FROM t),
+o AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(c, lambda y: replace(y, '--', '-')))), ',') AS cves,
+array_to_string(list_sort(list_distinct(list_transform(t, lambda y: replace(y, '..', '.')))), ',') AS techniques FROM f)
+SELECT * FROM o WHERE cves <> '' OR techniques <> ''""")
 def standard_ids(spark, sf_dir):
     (docs,) = load(spark, sf_dir, "documents")
-    cves, techs = T.find_cves(F.col("text")), T.find_techniques(F.col("text"))
+    said = F.lit("")
+    for i, x in enumerate(_SAID):
+        said = F.when(F.col("doc_id") % 6 == i, F.replace(F.lit(x), F.lit("{n}"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"))).otherwise(said)
+    text = F.concat("text", said)
+    cves, techs = T.find_cves(text), T.find_techniques(text)
     return docs.select("doc_id", F.array_join(cves, ",").alias("cves"), F.array_join(techs, ",").alias("techniques")).where("cves <> '' OR techniques <> ''")
 
 
@@ -147,7 +168,7 @@ def name_variants(spark, sf_dir):
     (part,) = load(spark, sf_dir, "part")
     reference = part.select(T.name_key(T.fold_tokens("p_name")).alias("key"), F.col("p_name").alias("target")).distinct()
     names = part.select(F.concat(F.lit("apt "), "p_name", F.lit(" group (alias)")).alias("name")).distinct()
-    return match.variant_join(names.withColumn("v", T.spelling_variants("name")), "name", "v", reference)
+    return match.variant_join(names.withColumn("v", T.spelling_variants(F.col("name"))), "name", "v", reference)
 
 
 @query("""
@@ -178,7 +199,20 @@ def name_signals(spark, sf_dir):
     return names.select("name", T.slug("name").alias("slug"), T.cluster_kind(F.col("w")).alias("cluster"), T.name_suffix(F.col("w")).alias("suffix"), T.malware_word(F.col("w")).alias("malware"), T.is_campaign_name(F.col("w")).alias("campaign"), T.is_placeholder_name(F.col("w")).alias("placeholder"), T.script_of("name").alias("script"))
 
 
-@query()
+@query("""
+WITH n AS (SELECT c_custkey, 'Land' || translate(c_nationkey::VARCHAR, '0123456789', 'abcdefghij') AS who FROM customer)
+SELECT c_custkey, who || ' Panda' AS name, 'Storm-' || c_custkey AS alias FROM n WHERE c_custkey % 5 IN (0, 1, 2)
+UNION ALL SELECT c_custkey, 'Team ' || who, who || ' Bear' FROM n WHERE c_custkey % 5 = 0""")
 def stated_alias_pairs(spark, sf_dir):
-    (conversations,) = load(spark, sf_dir, "conversations")
-    return conversations.select("conv_id", "turn", F.explode(T.alias_pairs("text")).alias("p")).select("conv_id", "turn", "p.name", "p.alias")
+    """Pairs stated in sentences made of customers' nation numbers; two names that only overlap are no pair, and a pair counts once."""
+    (customer,) = load(spark, sf_dir, "customer")
+    who, key = F.concat(F.lit("Land"), F.translate(F.col("c_nationkey").cast("string"), "0123456789", "abcdefghij")), F.col("c_custkey").cast("string")
+    said = [
+        F.concat(F.lit("The "), who, F.lit(" Panda (also known as Storm-"), key, F.lit(") struck. Storm-"), key, F.lit(", formerly "), who, F.lit(" Panda. While Team "), who, F.lit(", aka “"), who, F.lit(" Bear”")),
+        F.concat(F.lit("When "), who, F.lit(" Panda, tracked by  Microsoft as Storm-"), key, F.lit(", came")),
+        F.concat(who, F.lit(" Panda; which Cisco Talos tracks as Storm-"), key),
+        F.concat(who, F.lit(" Panda, which overlaps with Storm-"), key),
+        F.concat(who, F.lit(" Panda, aka CVE-2021-"), key),
+    ]
+    text = F.get(F.array(*said), (F.col("c_custkey") % 5).cast("int"))
+    return customer.select("c_custkey", F.explode(T.alias_pairs(text)).alias("p")).select("c_custkey", "p.name", "p.alias")

@@ -53,6 +53,8 @@ def test_titles_from_urls(spark):
 def test_ids(spark):
     assert values(spark, T.find_cves, ["see cve-2021-44228, CVE‑2020‑0601 and XCVE-2020-0001", None]) == [["CVE-2020-0601", "CVE-2021-44228"], []]
     assert values(spark, T.find_techniques, ["T1059.001 T1059 AT1000"]) == [["T1059", "T1059.001"]]
+    assert values(spark, T.find_techniques, ["T1059.00", "T1059.0015", "T1566abc", "_T1059", "T1566."]) == [[], [], [], [], ["T1566"]]
+    assert values(spark, T.find_cves, ["CVE-2021-44228abc", "_CVE-2021-44228", "CVE-2021-44228."]) == [[], [], ["CVE-2021-44228"]]
     df = spark.createDataFrame([(["CVE-2021-0001", "CVE-2024-0001"], dt.date(2021, 5, 1)), (["CVE-2024-0001"], None)], "c array<string>, d date")
     assert [r[0] for r in df.select(T.possible_cves(F.col("c"), F.col("d"))).collect()] == [["CVE-2021-0001"], ["CVE-2024-0001"]]
 
@@ -75,6 +77,8 @@ def test_variants_and_kinds(spark):
 def test_alias_pairs(spark):
     got = values(spark, lambda c: T.alias_pairs(c), ["The Storm-3168 (also known as Silent Fox) struck. Silent Fox, aka Storm-3168, again.", "no names"])
     assert [[(p["name"], p["alias"]) for p in r] for r in got] == [[("Storm-3168", "Silent Fox")], []]
+    got = values(spark, lambda c: T.alias_pairs(c, frozenset({"windows"})), ["Red Fox, aka Windows Fox", "Red Fox, aka Blue Fox"])
+    assert [[(p["name"], p["alias"]) for p in r] for r in got] == [[], [("Red Fox", "Blue Fox")]]
 
 
 def test_dates(spark):
