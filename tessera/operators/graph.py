@@ -129,15 +129,16 @@ def carry_identity(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def suffixed(df: DataFrame, base: str, order: list[str]) -> DataFrame:
-    """Names made unique: the first of a base keeps it, later ones get -2, -3 and so on, past natural names that have that form."""
-    w = Window.partitionBy(base).orderBy(*order)
-    numbered = df.withColumn("__n", F.row_number().over(w))
-    natural = df.select(F.col(base).alias("__taken")).distinct()
-    wanted = numbered.withColumn("__try", F.when(F.col("__n") > 1, F.concat(F.col(base), F.lit("-"), F.col("__n").cast("string"))).otherwise(F.col(base)))
-    clash = wanted.where("__n > 1").join(natural, F.col("__try") == F.col("__taken"), "left_semi").groupBy(base).agg(F.count(F.lit(1)).alias("__shift"))
-    out = wanted.join(clash, base, "left")
-    shifted = F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), (F.col("__n") + F.coalesce("__shift", F.lit(0))).cast("string")))
-    return out.withColumn("slug", shifted).drop("__n", "__try", "__shift")
+    """Names made unique: the first of a base keeps it, the next take -2, -3 and so on, the lowest numbers that no natural name has."""
+    numbered = df.withColumn("__n", F.row_number().over(Window.partitionBy(base).orderBy(*order)))
+    part = lambda k: F.regexp_extract(base, "^(.*)-([1-9][0-9]{0,8})$", k)
+    natural = df.select(part(1).alias(base), F.nullif(part(2), F.lit("")).cast("int").alias("__taken")).where("__taken > 1")
+    taken = natural.groupBy(base).agg(F.array_sort(F.collect_set("__taken")).alias("__taken"))
+    out = numbered.join(taken, base, "left")
+    # The n-th of a base takes the n-th number that is free: one further for each taken number up to it.
+    free = F.aggregate(F.coalesce("__taken", F.array().cast("array<int>")), F.col("__n"), lambda n, t: n + (t <= n).cast("int"))
+    slug = F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), free.cast("string")))
+    return out.withColumn("slug", slug).drop("__n", "__taken")
 
 
 def typed_names(software: DataFrame, entity_keys: DataFrame, preferred: str) -> DataFrame:

@@ -32,11 +32,15 @@ def redirect_chains(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT p_partkey, lower(replace(p_brand, '#', '-')) AS base, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)
-SELECT p_partkey, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS slug FROM n""")
+WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'brand' ELSE lower(replace(p_brand, '#', '-')) END AS base FROM part),
+k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS k FROM n),
+free AS (SELECT i, row_number() OVER (ORDER BY i) + 1 AS k FROM range(2, 1000000) t(i) WHERE 'brand-' || i NOT IN (SELECT base FROM n))
+SELECT p_partkey, CASE WHEN k.k = 1 THEN base WHEN base = 'brand' THEN base || '-' || free.i ELSE base || '-' || k.k END AS slug FROM k LEFT JOIN free ON free.k = k.k""")
 def suffixed_slugs(spark, sf_dir):
+    """Parts under their brand, a third of them under "brand" alone, whose numbers must pass over the brands' own."""
     (part,) = load(spark, sf_dir, "part")
-    rows = part.select("p_partkey", F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("base"))
+    own = F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))
+    rows = part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "brand").otherwise(own).alias("base"))
     return graph.suffixed(rows, "base", ["p_partkey"]).select("p_partkey", "slug")
 
 
