@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,10 +30,15 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that driver and executors share, so that an iteration does not grow its lineage."""
+    """df as a table in the folder that driver and executors share, so that an iteration does not grow its lineage.
+
+    Only in one process, as in tests, may that folder be one of our own.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/tessera/{uuid.uuid4().hex}"

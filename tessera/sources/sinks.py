@@ -48,8 +48,11 @@ def coded_index(df: DataFrame, coded: list[str]) -> tuple[DataFrame, dict[str, D
     return df, tables
 
 
-def index_document(rows: DataFrame, order: list[str], tables: dict[str, DataFrame], version: str) -> str:
-    """A column-wise JSON document of a published index; for indexes that a browser loads, so of bounded size."""
+def index_document(rows: DataFrame, order: list[str], tables: dict[str, DataFrame], version: str, most: int = 1_000_000) -> str:
+    """A column-wise JSON document of a published index, for indexes that a browser loads; refused beyond so many rows."""
+    n = rows.count() + sum(t.count() for t in tables.values())
+    if n > most:
+        raise ValueError(f"an index of {n} rows is too large for one document ({most}); publish shards")
     body = {c: [] for c in rows.columns}
     for r in rows.orderBy(*order).toLocalIterator():
         for c in rows.columns:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,17 +16,16 @@ class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], order: Callable[[], list[Column]]):
         self.spark, self.path, self.keys, self.order = spark, path.rstrip("/"), keys, order
 
-    def version(self, batch: int) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/v={batch}")
-        except AnalysisException:
-            return None
+    def version(self, batch: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/v={batch}")
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """Write version batch_id from the one before and the batch; done again after a failure, it gives the same table."""
-        old = self.version(batch_id - 1)
-        one = batch.limit(0) if old is None else old
-        upsert(one, batch, self.keys, self.order()).write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+        """Write version batch_id from the one before and the batch; done again after a failure, it gives the same table.
+
+        Only the first batch starts from nothing: a version that cannot be read stops the stream.
+        """
+        old = self.version(batch_id - 1) if batch_id else batch.limit(0)
+        upsert(old, batch, self.keys, self.order()).write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
