@@ -2,12 +2,15 @@
 
 A document's terms (runs of ASCII letters and digits and of non-ASCII characters, A-Z lowered) are hashed into 2 ** 18
 buckets. Training reads a bounded sample of labelled rows (MAX_LABELLED, taken in the order of a digest of their id), keeps
-the buckets that tell the classes apart, and fits bias, weights and pairwise factors by AdaGrad with a last calibration on
-rows left aside. Scores of all documents come from one pass in Arrow batches; nothing is shuffled but the labelled sample.
+the buckets that tell the classes apart, alone or as one of a pair whose effect is not the sum of its parts' (looked for
+among the POOL most frequent), and fits bias, weights and pairwise factors by AdaGrad with a last calibration on rows left
+aside. Scores of all documents come from one pass in Arrow batches; nothing is shuffled but the labelled sample.
 
 Defined results. Null and empty text: the score of the bias alone. No labelled rows, or one class only: every score is the
 smoothed share of label 1 (0.5 without rows), 0.49 at most where that share is not above one half. Labelled rows with a
-null label are left out; a document labelled twice counts twice. Repeated rows get equal scores. Extra columns are ignored.
+null label are left out; a document labelled twice counts twice, and so do rows that repeat a labelled id, within the bound.
+Repeated rows get equal scores. Ties in choosing terms go to the lower bucket. Texts of any length are read whole. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from tessera.llm.common import crc_mod, text_bytes, tokenise
 
 BITS = 18
 MAX_LABELLED = 20_000
-MAX_TERMS, MIN_SEEN, MIN_Z = 4096, 4, 4.0
-FEW_TERMS, FEW_Z = 64, 3.0  # so many terms are taken at a lower bar where few pass the other
+MAX_TERMS, MIN_SEEN = 4096, 4
+MIN_Z = 3.7  # of a term alone: two of 10,000 pass by chance
+POOL, MIN_PAIR, PAIR_Z = 1024, 8, 6.0  # of half a million pairs, one in a thousand pools has one that passes by chance
 FACTORS, EPOCHS, STEPS, BATCH, RATE = 4, 30, 1500, 256, 0.3
 SPLIT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -39,7 +43,7 @@ class FactorMachine:
         self.index = np.full(1 << BITS, -1, dtype=np.int32)
         self.index[chosen] = np.arange(len(chosen))
         self.bias, self.w = 0.0, np.zeros(len(chosen))
-        self.v = np.random.default_rng(seed).normal(0, 0.02, (len(chosen), factors))
+        self.v = np.random.default_rng(seed).normal(0, 0.1, (len(chosen), factors))
         self.scale, self.shift = 1.0, 0.0
 
     def terms(self, doc: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,17 +67,63 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def choose(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Buckets seen often enough whose log odds between the classes stand out from chance, the clearest first.
+def _spread(seen: np.ndarray, pos: np.ndarray, n: int, n1: int) -> np.ndarray:
+    """Root of the likelihood ratio statistic of every bucket against a label that does not depend on it."""
+    told = np.zeros(len(seen))
+    for have, of, rows in ((pos, n1, seen), (seen - pos, n - n1, seen), (n1 - pos, n1, n - seen), ((n - n1) - (seen - pos), n - n1, n - seen)):
+        told += np.where(have > 0, have * np.log(np.maximum(have, 1) * n / np.maximum(rows * of, 1)), 0)
+    return np.sqrt(np.maximum(2 * told, 0))
+
+
+def choose(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Buckets seen often enough that stand out from chance among the documents `rows`, alone or in pairs, the clearest first.
 
     (doc, bucket) holds no pair twice.
     """
-    pos, seen = np.bincount(bucket, y[doc], 1 << BITS), np.bincount(bucket, minlength=1 << BITS)
-    neg, n1, n0 = seen - pos, y.sum(), (1 - y).sum()
-    z = (np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    kept = np.flatnonzero((seen >= MIN_SEEN) & (np.abs(z) >= FEW_Z))
-    kept = kept[np.lexsort((kept, -np.abs(z[kept])))]
-    return kept[: min(MAX_TERMS, max(FEW_TERMS, int((np.abs(z[kept]) >= MIN_Z).sum())))]
+    used = np.zeros(len(y), dtype=bool)
+    used[rows] = True
+    doc, bucket = doc[used[doc]], bucket[used[doc]]
+    seen, pos = np.bincount(bucket, minlength=1 << BITS), np.bincount(bucket, y[doc], 1 << BITS).astype(np.int64)
+    n, n1 = len(rows), int(y[rows].sum())
+    z = _spread(seen, pos, n, n1)
+    z[(seen < MIN_SEEN) | (z < MIN_Z)] = 0
+    often = np.flatnonzero(seen >= MIN_PAIR)
+    often = np.sort(often[np.lexsort((often, -seen[often]))][:POOL])
+    z[often] = np.maximum(z[often], _in_pairs(doc, bucket, y, often))
+    kept = np.flatnonzero(z)
+    return kept[np.lexsort((kept, -z[kept]))][:MAX_TERMS]
+
+
+def _in_pairs(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """For each of the buckets, how clearly its odds beside another one differ from the product of both; 0 where not above PAIR_Z."""
+    place = np.full(1 << BITS, -1, dtype=np.int64)
+    place[often] = np.arange(len(often))
+    held = place[bucket] >= 0
+    doc, at = doc[held], place[bucket[held]]
+    order = np.argsort(doc, kind="stable")
+    doc, at = doc[order], at[order]
+    both = np.zeros((2, len(often), len(often)), dtype=np.float32)
+    for label in (0, 1):
+        own = np.unique(doc[y[doc] == label])
+        for k in range(0, len(own), 1000):
+            i, j = np.searchsorted(doc, own[k]), np.searchsorted(doc, own[min(k + 1000, len(own)) - 1], side="right")
+            x = np.zeros((min(1000, len(own) - k), len(often)), dtype=np.float32)
+            inside = y[doc[i:j]] == label
+            x[np.searchsorted(own[k : k + 1000], doc[i:j][inside]), at[i:j][inside]] = 1
+            both[label] += x.T @ x
+    neg, pos = both[0], both[1]
+    alone = np.stack([np.diagonal(neg), np.diagonal(pos)]).astype(np.float64)
+    # The four cells of a pair: with both terms, with one, and with the other alone; the odds ratio of the odds of the label.
+    logit = lambda p, q: np.log(p + 0.5) - np.log(q + 0.5)
+    cells = [(pos, neg), (alone[1][:, None] - pos, alone[0][:, None] - neg), (alone[1][None, :] - pos, alone[0][None, :] - neg)]
+    n1, n0 = float((y == 1).sum()), float((y == 0).sum())
+    rest = (np.maximum(n1 - alone[1][:, None] - alone[1][None, :] + pos, 0), np.maximum(n0 - alone[0][:, None] - alone[0][None, :] + neg, 0))
+    effect = logit(*cells[0]) - logit(*cells[1]) - logit(*cells[2]) + logit(*rest)
+    error = np.sqrt(sum(1 / (p + 0.5) + 1 / (q + 0.5) for p, q in (*cells, rest)))
+    z = np.where(pos + neg >= MIN_PAIR, np.abs(effect) / error, 0)
+    np.fill_diagonal(z, 0)
+    best = z.max(axis=1, initial=0)
+    return np.where(best >= PAIR_Z, best, 0)
 
 
 def fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, seed: int = 7) -> FactorMachine:
@@ -88,7 +138,7 @@ def fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, seed: int = 7) -> Fa
     if len(y) < 50 or y[aside].min() == y[aside].max():
         aside[:] = False
     train = ~aside
-    m = FactorMachine(choose(doc[train[doc]], bucket[train[doc]], np.where(train, y, 0)) if train.any() else np.zeros(0, dtype=np.int64), seed=seed)
+    m = FactorMachine(choose(doc, bucket, y, np.flatnonzero(train)), seed=seed)
     d, t = m.terms(doc, bucket)
     begin, end = np.searchsorted(d, np.arange(len(y))), np.searchsorted(d, np.arange(len(y)), side="right")
     m.bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
@@ -146,7 +196,8 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -
             ends = np.searchsorted(d, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())], ["doc_id", "toxic", "terms"])
 
-    return rows.mapInArrow(hashed, "doc_id long, toxic int, terms binary")
+    # A labelled id may stand in several rows: the bound holds for what is learnt from, too.
+    return rows.mapInArrow(hashed, "doc_id long, toxic int, terms binary").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "terms").limit(max_rows)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> FactorMachine:

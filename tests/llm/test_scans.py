@@ -170,6 +170,46 @@ def test_pairs_of_terms_are_learnt(spark, make_docs):
     assert np.mean([x["predicted"] == y[x["doc_id"]] for x in held]) > 0.95
 
 
+def test_terms_that_matter_only_in_pairs_are_learnt(spark, make_docs):
+    """Label 1 where insult or group stands without the other: neither alone says anything, and prose words say nothing."""
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(4000):
+        insult, group = r.random() < 0.5, r.random() < 0.5
+        words = [f"w{r.randrange(300)}" for _ in range(30)] + ["idiot"] * insult + ["tribe"] * group
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(insult != group)))
+    y = np.array([t for *_, t in labels])
+    chosen = toxicity.choose(*_terms(rows), y, np.arange(3000))
+    pair = {int(toxicity.buckets([w])[1][0]) for w in (b"idiot", b"tribe")}
+    assert pair <= set(chosen.tolist()) and len(chosen) <= 4
+    got = toxicity.score_toxicity(make_docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert np.mean([x["predicted"] == y[x["doc_id"]] for x in got if x["held_out"]]) > 0.95
+
+
+def _terms(rows):
+    doc, bucket = toxicity.buckets([t.encode() for _, t in rows])
+    pairs = np.unique(np.stack([doc, bucket]), axis=1)
+    return pairs[0], pairs[1]
+
+
+def test_scores_by_explicit_pairs():
+    rows, labels = toxic_rows(600, 4)
+    m = toxicity.fit(*_terms(rows), np.array([t for *_, t in labels]))
+    texts = [t for _, t in rows[:40]] + ["", "idiot Idiot tribe"]
+    for text, p in zip(texts, m.scores([t.encode() for t in texts]), strict=True):
+        terms = sorted({int(m.index[b]) for w in text.lower().split() for b in toxicity.buckets([w.encode()])[1]} - {-1})
+        z = m.bias + sum(m.w[t] for t in terms) + sum(float(m.v[a] @ m.v[b]) for i, a in enumerate(terms) for b in terms[:i])
+        assert p == pytest.approx(1 / (1 + np.exp(-(m.scale * z + m.shift))))
+
+
+def test_rows_learnt_from_are_bounded(spark, make_docs):
+    docs = make_docs([(1, f"text {k}") for k in range(50)] + [(2, "other")])
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.labelled(docs, labels, 1).count() <= 1
+
+
 def test_toxicity_defined_results(spark, make_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make_docs([(1, None), (2, ""), (3, "x " * 40000), (None, "a")])
