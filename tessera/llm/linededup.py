@@ -5,7 +5,8 @@ MIN_PAGES pages do. A host has at most (mean lines a page) / RATIO such lines, s
 joined to its pages; the counting shuffles only line digests, added up before the shuffle.
 
 Defined results. Null or unreadable URL: no host, nothing is dropped. Null or empty HTML: no lines, empty text. A line that
-a page repeats counts once for that page. Repeated rows count as pages of their own. Extra columns are ignored.
+a page repeats counts once for that page. Repeated rows count as pages of their own. A line at the ratio exactly stays. Empty table: empty result. Pages of any
+length are read whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialise
+
 RATIO, MIN_PAGES, SALTS = 0.2, 3, 64
 # What has no visible text, and tags that end a line.
 HIDDEN = (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>")
@@ -36,11 +39,12 @@ def visible_lines(html: Column) -> Column:
 
 def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, host, n_lines, n_dropped and the text of the lines that stay."""
-    rows = pages.select("page_id", host(F.col("url")).alias("host"), visible_lines(F.col("html")).alias("lines"))
+    # Pages are parsed once; what counts the lines and what drops them read the parsed table.
+    rows = materialise(pages.select("page_id", host(F.col("url")).alias("host"), visible_lines(F.col("html")).alias("lines")))
     known = rows.where(F.col("host").isNotNull())
     seen = known.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
     counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    totals = pages.select(host(F.col("url")).alias("host")).where(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    totals = known.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     # A large host's lines and pages are spread over SALTS parts; what is known of the host is sent to each of them.
     parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     salt = lambda c: F.pmod(c, F.lit(SALTS)).cast("int").alias("salt")
