@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -30,9 +31,11 @@ def crc_mod(col: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in one process, as in tests, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

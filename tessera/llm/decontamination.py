@@ -5,8 +5,9 @@ substitute) of the item's n words. Words are runs of ASCII letters and digits an
 
 Each repetition draws a CGK random walk: reading a window of the item's size from left to right, step t outputs the word
 under the pointer and moves on if a hash bit of (t, word) says so. Windows few edits apart give outputs few positions
-apart (Hamming), so tables keyed by a few sampled positions bring them together. The number of tables is set by a simulated
-hit rate at the largest allowed number of edits, to reach RECALL. Hits are verified by the exact edit distance.
+apart (Hamming), so tables keyed by a few sampled positions bring them together. The number of tables is set for each item
+size by a simulated hit rate at the largest allowed number of edits, to reach RECALL; sizes that would need more than
+MAX_TABLES have none, and all their windows are verified. Hits are verified by the exact edit distance.
 
 Windows are placed where they can matter: an item of n words within e edits of a stretch leaves a run of at least
 ceil((n - e) / (e + 1)) words intact (pigeonhole), so only windows aligned to such a run shared with some item are
@@ -15,7 +16,8 @@ embedded. That loses nothing, and is one hash-table look-up for each word of the
 Items are read in blocks of at most ITEM_BYTES of text, so what is sent to executors is bounded; the corpus is scanned once
 for each block. Documents are read whole, in Arrow batches, without a shuffle.
 
-Defined results. Null or empty texts and items without words match nothing. Items that are equal match the same documents.
+Defined results. Null or empty texts and items without words match nothing. Null ids are ids like any other. Of places with
+equally few edits the first is told. Texts of any length are read whole. Items that are equal match the same documents.
 Repeated documents each give their own pairs. Empty tables: no pairs. Extra columns are ignored by find_leaks() and kept
 by drop_leaked().
 """
@@ -28,13 +30,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, packed_rows, text_bytes, tokenise, unpacked_rows
+from tessera.llm.common import materialise, mix64, packed_rows, text_bytes, tokenise, unpacked_rows
 
 SHARE = 0.2
-RECALL = 0.99
+RECALL = 0.998
 SAMPLED = 2  # positions in a table's key
+SIMULATED, WALKS = 16, 8  # edited items and walks that a hit rate is simulated with
 ITEM_BYTES = 4 << 20
-MAX_TABLES = 200
+MAX_TABLES = 400  # beyond it, verifying every window costs no more than looking it up
 SPLIT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,7 +89,7 @@ class Index:
         self.ids, self.words = [i for i, _ in held], [w for _, w in held]
         self.edits = [int(share * len(w)) for w in self.words]
         self.recall, self.seed, self.share = recall, seed, share
-        self.tables = self._tables()
+        self.tables = {size: self._tables([w for w in self.words if len(w) == size]) for size in sorted({len(w) for w in self.words})}
         grams: dict[int, list[tuple[int, int, int]]] = {}
         for k, w in enumerate(self.words):
             e = self.edits[k]
@@ -102,26 +105,24 @@ class Index:
             self.runs[q] = (h[order], np.array([r[1] for r in rows])[order], np.array([r[2] for r in rows])[order], bits)
         self.keys = self._keys()
 
-    def _tables(self) -> int:
-        """How many tables reach the recall, by the simulated hit rate of one at the most edits an item may have."""
-        r = np.random.default_rng(self.seed)
-        tries, hits = 0, 0
-        for k in r.permutation(len(self.words))[:40]:
-            w, e = self.words[k], self.edits[k]
-            for _ in range(3):
-                x = list(w)
-                for _ in range(e):
-                    p, what = int(r.integers(len(x))) if x else 0, int(r.integers(3))
-                    x[p : p + (what != 0)] = [np.uint64(r.integers(1 << 62))] if what != 1 else []
-                wide = np.zeros((2, len(w)), dtype=np.uint64)
-                wide[0], wide[1, : min(len(x), len(w))] = w, x[: len(w)]
-                out = embed(wide, self.seed + tries, 3 * len(w))
-                hits += (out[0] == out[1]).mean() ** SAMPLED
-                tries += 1
-        if not tries:
-            return 1
-        p = min(max(hits / tries, 0.02), 0.999)
-        return min(MAX_TABLES, max(4, math.ceil(math.log(1 - self.recall) / math.log(1 - p))))
+    def _tables(self, items: list[np.ndarray]) -> int:
+        """How many tables reach the recall for items of one size, by the hit rate of one at the most edits they may have."""
+        r, size = np.random.default_rng((self.seed, len(items[0]))), len(items[0])
+        wide = np.zeros((2 * SIMULATED, size), dtype=np.uint64)
+        for k in range(SIMULATED):
+            x = list(items[int(r.integers(len(items)))])
+            wide[2 * k] = x
+            for _ in range(int(self.share * size)):
+                p, what = int(r.integers(len(x))) if x else 0, int(r.integers(3))
+                x[p : p + (what != 0)] = [np.uint64(r.integers(1 << 62))] if what != 1 else []
+            wide[2 * k + 1, : min(len(x), size)] = x[:size]
+        hits = 0.0
+        for walk in range(WALKS):
+            out = embed(wide, self.seed + walk, 3 * size)
+            hits += float(((out[::2] == out[1::2]).mean(axis=1) ** SAMPLED).mean()) / WALKS
+        if hits >= 0.999:
+            return 4
+        return max(4, math.ceil(math.log(1 - self.recall) / math.log(1 - hits))) if hits > 0 else MAX_TABLES + 1
 
     def _sampled(self, x: np.ndarray, table: int) -> np.ndarray:
         steps = 3 * x.shape[1]
@@ -132,14 +133,18 @@ class Index:
             key = mix64(key ^ out[:, s])
         return key
 
-    def _keys(self) -> list[dict[int, dict[int, list[int]]]]:
-        """For each table, by item size, the items under each key."""
-        out = []
-        for t in range(self.tables):
-            by: dict[int, dict[int, list[int]]] = {}
-            for k, w in enumerate(self.words):
-                by.setdefault(len(w), {}).setdefault(int(self._sampled(w[None, :], t)[0]), []).append(k)
-            out.append(by)
+    def _keys(self) -> dict[int, list[dict[int, list[int]]]]:
+        """For each item size, table by table, the items under each key; no tables where every window is verified."""
+        out = {}
+        for size, tables in self.tables.items():
+            items = [k for k, w in enumerate(self.words) if len(w) == size]
+            own = np.stack([self.words[k] for k in items])
+            out[size] = []
+            for table in range(tables if tables <= MAX_TABLES else 0):
+                by: dict[int, list[int]] = {}
+                for k, key in zip(items, self._sampled(own, table).tolist(), strict=True):
+                    by.setdefault(key, []).append(k)
+                out[size].append(by)
         return out
 
     def windows(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -176,8 +181,10 @@ class Index:
             back = back.ravel()
             order = np.argsort(back, kind="stable")
             first = np.searchsorted(back[order], np.arange(len(x) + 1))
-            for table in range(self.tables):
-                known = self.keys[table][int(size)]
+            if self.tables[int(size)] > MAX_TABLES:
+                items = [k for k, w in enumerate(self.words) if len(w) == size]
+                hits.update((int(doc), item, int(at)) for doc, _, at in own for item in items)
+            for table, known in enumerate(self.keys[int(size)]):
                 for k, key in enumerate(self._sampled(x, table).tolist()):
                     for item in known.get(key, ()):
                         hits.update((int(own[j, 0]), item, int(own[j, 2])) for j in order[first[k] : first[k + 1]])
@@ -256,19 +263,21 @@ def _chunks(texts: list[bytes], most: int = 4 << 20):
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: float = RECALL) -> DataFrame:
     """The rows of docs that hold no item, with their own columns."""
-    blocks = [docs.sparkSession.sparkContext.broadcast(Index(b, share, recall)) for b in item_blocks(benchmark)]
     rows = packed_rows(docs, text=F.col("text"))
+    for n, block in enumerate(item_blocks(benchmark)):
+        rows = materialise(rows) if n else rows  # what the block before has left, so that executors hold one block at a time
+        held = docs.sparkSession.sparkContext.broadcast(Index(block, share, recall))
 
-    def clean(batches):
-        import pyarrow as pa
+        def clean(batches, held=held):
+            import pyarrow as pa
 
-        for b in batches:
-            texts = text_bytes(b.column(0))
-            keep = np.ones(b.num_rows, dtype=bool)
-            for s in _chunks(texts):
-                for held in blocks:
+            for b in batches:
+                texts = text_bytes(b.column(0))
+                keep = np.ones(b.num_rows, dtype=bool)
+                for s in _chunks(texts):
                     for row in held.value.leaks(texts[s]):
                         keep[s.start + row[0]] = False
-            yield b.filter(pa.array(keep))
+                yield b.filter(pa.array(keep))
 
-    return unpacked_rows(rows.mapInArrow(clean, rows.schema), docs)
+        rows = rows.mapInArrow(clean, rows.schema)
+    return unpacked_rows(rows, docs)

@@ -280,3 +280,23 @@ def test_leaks_defined_results(spark, make_docs):
     out = D.drop_leaked(docs, bench)
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2, 4]
     assert D.find_leaks(docs, bench.limit(0)).count() == 0 and D.find_leaks(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("most", [4, 400])
+def test_sizes_without_tables_are_verified(monkeypatch, most):
+    """Where a size would need too many tables, every window that shares a run is verified: nothing is given up."""
+    monkeypatch.setattr(D, "MAX_TABLES", most)
+    docs, items = leak_case(7)
+    index = D.Index([(k, t.encode()) for k, t in items])
+    want = {(i, k) for i, (_, t) in enumerate(docs) for k, x in items if edits(x.split(), t.lower().split()) <= int(0.2 * len(x.split()))}
+    got = {(i, k) for i, k, *_ in index.leaks([t.encode() for _, t in docs])}
+    assert got <= want and len(got) >= (1 if most == 4 else 0.97) * len(want)
+
+
+def test_items_of_several_blocks(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(D, "ITEM_BYTES", 60)
+    docs, items = leak_case(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sum(1 for _ in D.item_blocks(bench)) > 3
+    found = {r["doc_id"] for r in D.find_leaks(make_docs(docs), bench).collect()}
+    assert {r["doc_id"] for r in D.drop_leaked(make_docs(docs), bench).collect()} == {i for i, _ in docs} - found
