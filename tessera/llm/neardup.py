@@ -122,7 +122,9 @@ def region_members(nodes: DataFrame) -> DataFrame:
 
 
 def neighbours(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, tree): pairs that stand next to each other in an order with a common prefix of DEPTH values or more.
+    """(a, b, tree, run): pairs that stand next to each other in an order with a common prefix of DEPTH values or more.
+
+    Pairs of one run follow each other without a gap.
 
     Every order is sorted by its turned signature and dealt out by range, node and all, so that no region is bound to a
     task. Pairs that sizes or signatures rule out are passed over. Neighbours that the end of a task's range parts are left
@@ -135,8 +137,9 @@ def neighbours(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def near(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        last = None
+        last, runs, joined = None, TaskContext.get().partitionId() << 32, False  # run numbers differ from task to task
         for b in batches:
             if last is not None:
                 b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
@@ -148,10 +151,16 @@ def neighbours(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             at = np.flatnonzero(held)
             x, y = b.column(2).take(pa.array(at)).to_pylist(), b.column(2).take(pa.array(at + 1)).to_pylist()
             pairs = [(p, q) if p < q else (q, p) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.binary()), pa.array([q for _, q in pairs], pa.binary()), pa.array(tree[at], pa.int32())], ["a", "b", "tree"])
+            begins = held & ~np.concatenate(([joined], held[:-1])) if len(held) else held
+            run = runs + np.cumsum(begins)
+            if len(held):
+                runs, joined = int(run[-1]), bool(held[-1])
+            cols = [pa.array([p for p, _ in pairs], pa.binary()), pa.array([q for _, q in pairs], pa.binary()), pa.array(tree[at], pa.int32()), pa.array(run[at], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "tree", "run"])
             last = b.slice(b.num_rows - 1)
 
-    return rows.mapInArrow(near, "a binary, b binary, tree int").groupBy("a", "b").agg(F.min("tree").alias("tree"))
+    found = rows.mapInArrow(near, "a binary, b binary, tree int, run long")
+    return found.groupBy("a", "b").agg(F.min(F.struct("tree", "run")).alias("first")).select("a", "b", "first.tree", "first.run")
 
 
 def member_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -173,7 +182,7 @@ def member_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int) -
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets overlap as asked, written."""
+    """Pairs (a, b, run) whose full sets overlap as asked, written."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def kept(batches):
@@ -185,13 +194,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, y = (np.cumsum(unpack_numbers(z.as_py()), dtype=np.uint64) for z in (x, y))
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4)], ["a", "b", "run"]).filter(pa.array(good, pa.bool_()))
 
-    return materialise(both.select("a", "b", "x", "y").mapInArrow(kept, "a binary, b binary"))
+    return materialise(both.select("a", "b", "x", "y", "run").mapInArrow(kept, "a binary, b binary, run long"))
 
 
 def _forest(links: DataFrame) -> DataFrame:
-    """For the links of each task, its nodes with the smallest node that the task's links join them to: fewer, shorter paths."""
+    """For the links of each task, its nodes with the smallest node that the task's links join them to.
+
+    The links of a run form a path; a task that has them all makes it a star, so labels need few rounds to spread.
+    """
 
     def joined(batches):
         import pyarrow as pa
@@ -216,21 +228,24 @@ def _forest(links: DataFrame) -> DataFrame:
             own = nodes[i : i + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([root(x) for x in own], pa.binary())], ["src", "dst"])
 
-    return links.select("a", "b").mapInArrow(joined, "src binary, dst binary").where("src != dst")
+    return links.repartition("run").select("a", "b").mapInArrow(joined, "src binary, dst binary").where("src != dst")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) for every node of a link (a, b); comp is the smallest node of the connected component.
+    """(node, comp) for every node of a link (a, b, run); comp is the smallest node of the connected component.
 
-    Each round a node takes the smallest label among its own and its neighbours', and then its label's label.
+    Each round the smallest label among a node's neighbours goes to the node and to the node that it was labelled with; then
+    every node takes its label's label. So whole groups are hooked at once, and rounds grow with the logarithm of a path.
     """
     forest = _forest(links)
     edges = materialise(forest.union(forest.select("dst", "src")).distinct())
     labels = materialise(edges.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("comp")).withColumnRenamed("src", "node"))
     while True:
         spread = edges.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("comp").alias("near"))
-        joined = labels.join(spread.withColumnRenamed("src", "node"), "node").select("node", "comp", F.least("comp", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("comp").alias("jump"))
+        told = labels.join(spread.withColumnRenamed("src", "node"), "node")
+        hooks = told.select("node", "near").union(told.select("comp", "near")).groupBy("node").agg(F.min("near").alias("near"))
+        joined = labels.join(hooks, "node").select("node", "comp", F.least("comp", "near").alias("new"))
+        jump = joined.select(F.col("node").alias("new"), F.col("new").alias("jump"))
         nxt = materialise(joined.join(jump, "new").select("node", F.least("new", "jump").alias("comp"), (F.least("new", "jump") != F.col("comp")).alias("changed")))
         labels = nxt.select("node", "comp")
         if nxt.where("changed").isEmpty():
@@ -247,8 +262,8 @@ def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     """The groups after links between them; of the links between two groups one counts."""
     if links.isEmpty():
         return groups
-    between = across(links.select("a", "b"), groups).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
-    names = components(between.distinct()).select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    between = across(links, groups).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "run")
+    names = components(between.groupBy("a", "b").agg(F.min("run").alias("run"))).select(F.col("node").alias("old"), F.col("comp").alias("new"))
     out = groups.join(names, F.col("comp") == F.col("old"), "left")
     return materialise(out.select("node", F.coalesce("new", "comp").alias("comp")))
 
@@ -336,16 +351,16 @@ def node_groups(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> Data
     groups = members.select("node").distinct().select("node", F.col("node").alias("comp"))
     tried = materialise(neighbours(members, nodes, percent))
     # The first orders join most of what belongs together; of the others, only pairs that are still apart are looked at.
-    groups = merged(groups, confirmed(tried.where(F.col("tree") < FIRST).select("a", "b"), sets, percent))
-    later = across(tried.where(F.col("tree") >= FIRST).select("a", "b"), groups).select("a", "b")
+    groups = merged(groups, confirmed(tried.where(F.col("tree") < FIRST).drop("tree"), sets, percent))
+    later = across(tried.where(F.col("tree") >= FIRST).drop("tree"), groups).select("a", "b", "run")
     groups = merged(groups, confirmed(later, sets, percent))
     # What still shares a region but no group: the likeliest pair of two groups first, then what is left apart.
     apart = materialise(tiled(mixed_members(members, groups), nodes, sets, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     if not apart.isEmpty():
         ca, cb = F.least("ca", "cb"), F.greatest("ca", "cb")
-        best = apart.groupBy(ca.alias("ca"), cb.alias("cb")).agg(F.max(F.struct("same", "a", "b")).alias("top")).select("top.a", "top.b")
+        best = apart.groupBy(ca.alias("ca"), cb.alias("cb")).agg(F.max(F.struct("same", "a", "b")).alias("top")).select("top.a", "top.b", F.xxhash64("ca").alias("run"))
         groups = merged(groups, confirmed(best, sets, percent))
-        rest = across(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), groups).select("a", "b")
+        rest = across(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), groups).select("a", "b", F.xxhash64("ca").alias("run"))
         groups = merged(groups, confirmed(rest, sets, percent))
     return nodes.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 

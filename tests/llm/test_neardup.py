@@ -101,3 +101,14 @@ def test_keep_one_judges_each_row(make_docs):
     rows = [(1, same), (2, near), (2, clean), (3, other), (3, clean + " end"), (None, other), (None, "a b c d e f g h"), (None, "a b c d e f g h"), (None, "i j k l m n o"), (4, ""), (4, "")]
     got = sorted(((r["doc_id"] or 0), r["text"]) for r in keep_one(make_docs(rows)).collect())
     assert got == sorted([(1, same), (2, clean), (3, other), (0, "a b c d e f g h"), (0, "i j k l m n o"), (4, ""), (4, "")])
+
+
+def test_long_paths_need_few_rounds(spark, monkeypatch):
+    r = random.Random(2)
+    names = [bytes(f"{k:05}", "ascii") for k in r.sample(range(10**5), 1200)]
+    links = [(*sorted(p), k) for k, p in enumerate(zip(names[:1000], names[1:1000], strict=False))] + [(*sorted(p), -1) for p in zip(names[1000:], names[1001:], strict=False)]
+    tables, written = [], neardup.materialise
+    monkeypatch.setattr(neardup, "materialise", lambda df: tables.append(1) or written(df))
+    got = {bytes(x["node"]): bytes(x["comp"]) for x in neardup.components(spark.createDataFrame(links, "a binary, b binary, run long").repartition(4)).collect()}
+    assert got == {n: min(own) for own in (names[:1000], names[1000:]) for n in own}
+    assert len(tables) <= 10
