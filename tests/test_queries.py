@@ -41,6 +41,9 @@ def test_same_rows_as_sql(spark, duck, name):
     assert sorted(tuple(plain(r[c]) for c in order) for r in got.collect()) == want
 
 
+NONE_AT_THIS_SIZE = {"refused_keys"}  # no key is contested in so few rows
+
+
 @pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
-def test_rows_only_queries_run(spark, name):
-    assert queries()[name](spark, SF).count() >= 0
+def test_queries_without_sql_give_rows(spark, name):
+    assert queries()[name](spark, SF).isEmpty() == (name in NONE_AT_THIS_SIZE)
