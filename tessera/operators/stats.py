@@ -94,17 +94,51 @@ def cv_loss(scored: DataFrame, p: str, label: str) -> DataFrame:
 
 
 def ablation(samples: DataFrame, item: str, label: str, features: list[str], least_fires: int = 3) -> list[str]:
-    """Signals kept by backward removal: the one whose loss falls most without it goes, while any does; rarely fired ones go first."""
+    """The signals without which the others predict held-out samples worse; those that fire on too few are not tried."""
     fired = samples.agg(*[F.count_if(F.col(f) != 0).alias(f) for f in features]).first()
-    kept = [f for f in features if fired[f] >= least_fires]
+    tried = [f for f in features if fired[f] >= least_fires]
     loss = lambda use: cv_loss(leave_one_out(samples, item, label, use).join(samples.select(item, label), item), "p", label).first()[0]
-    best = loss(kept) if kept else None
-    while len(kept) > 1:
-        trial, out = min((loss([f for f in kept if f != g]), g) for g in kept)
-        if trial > best:
+    whole = loss(tried)
+    return [f for f in tried if loss([g for g in tried if g != f]) > whole]
+
+
+def fold_probabilities(rows: DataFrame, item: str, label: str, features: list[str], folds: int = 10, penalty: float = 1.0, rounds: int = 25, tolerance: float = 1e-9) -> DataFrame:
+    """(item, p): each row's probability from a logistic model of the other folds; rows of one item share a fold.
+
+    For labelled sets of any size: a Newton step of all models is one aggregation over the rows, and only its sums reach
+    the driver. A row without a label or with a missing feature is left out.
+    """
+    from tessera.functions.arrays import sigmoid
+    from tessera.session import written
+
+    d = len(features) + 1
+    data = rows.select(F.col(item), F.col(label).cast("double").alias("__y"), *[F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features, 1)], F.pmod(F.xxhash64(item), F.lit(folds)).alias("__fold"))
+    data = written(data.dropna(subset=[c for c in data.columns if c != item]))
+    others = data.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("__k <> __fold")
+    x = [F.lit(1.0), *[F.col(f"__x{i}") for i in range(1, d)]]
+    ridge = np.diag([0.0] + [penalty] * (d - 1))
+    w = np.zeros((folds, d))
+
+    def predicted(model: str) -> Column:
+        of_model = F.get(F.array(*[F.array(*[F.lit(float(c)) for c in v]) for v in w]), F.col(model).cast("int"))
+        return F.aggregate(F.zip_with(of_model, F.array(*x), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v, sigmoid)
+
+    p = F.col("__p")
+    upper = [(i, j) for i in range(d) for j in range(i, d)]
+    sums = [F.sum((p - F.col("__y")) * x[i]) for i in range(d)] + [F.sum(p * (1 - p) * x[i] * x[j]) for i, j in upper]
+    for _ in range(rounds):
+        most = 0.0
+        for k, *got in others.withColumn("__p", predicted("__k")).groupBy("__k").agg(*sums).collect():
+            h = ridge.copy()
+            for (i, j), v in zip(upper, got[d:], strict=True):
+                h[i, j] += v
+                h[j, i] = h[i, j]
+            step = np.linalg.lstsq(h, np.array(got[:d]) + ridge @ w[k], rcond=None)[0]
+            w[k] -= step
+            most = max(most, float(np.abs(step).max()))
+        if most < tolerance:
             break
-        best, kept = trial, [f for f in kept if f != out]
-    return kept
+    return data.select(item, predicted("__fold").alias("p"))
 
 
 def calibration_bins(scored: DataFrame, p: str, right: Column, bins: int = 5) -> DataFrame:
@@ -121,25 +155,3 @@ def held_out_bins(scored: DataFrame, p: str, right: str, bins: int = 5) -> DataF
     w = Window.partitionBy("bin")
     out = scored.withColumn("bin", b)
     return out.withColumn("n_others", F.count(F.lit(1)).over(w) - 1).withColumn("n_right_others", F.sum(F.col(right).cast("long")).over(w) - F.col(right).cast("long"))
-
-
-def granted_bands(bins: DataFrame, floors: dict[str, tuple[float, float]], support: int = 20) -> list[tuple[str, bool]]:
-    """For each band, best first, (name, granted): enough rows at or above its score and enough of them right.
-
-    floors maps a band to (least score, least share right). A refused band's rows count for the next one.
-    """
-    rows = bins.select("calibrated", "n", "n_right").collect()
-    out, carried = [], [0, 0]
-    top = 1.01
-    for band, (score, share) in floors.items():
-        n = carried[0] + sum(r["n"] for r in rows if score <= r["calibrated"] < top)
-        k = carried[1] + sum(r["n_right"] for r in rows if score <= r["calibrated"] < top)
-        ok = n >= support and k >= share * n
-        out.append((band, ok))
-        carried, top = ([0, 0] if ok else [n, k]), score
-    return out
-
-
-def labelled(p: Column, placeholder: Column, campaign: Column, exact: Column, likeness: Column) -> Column:
-    """The label a name gets: outright rules first, then the model, then what it resembles."""
-    return F.when(placeholder | campaign, "not-an-entity").when(exact | (p >= 0.5), "actor").otherwise(F.coalesce(likeness, F.lit("malware")))

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.dates import quarter_label, window_start
-from tessera.operators import checks, dedupe, graph, rollup, series
+from tessera.operators import checks, dedupe, graph, guesses, rollup, series
+from tessera.operators import stats as stats_of
+from tessera.plans import guessing
 from tessera.session import written
-from tessera.sources import sinks
+from tessera.sources import schemas, sinks
 
 ANCHOR = r"^G\d{4}$"
 HISTORICAL = "paper"
@@ -59,6 +61,47 @@ def resolve(actors: DataFrame, anchor_source: str = "attack") -> Registry:
     return Registry(nodes.join(comps, "node"), keys, refused, named, display)
 
 
+def resolve_stated(actors: DataFrame, reports: DataFrame, software: DataFrame, pairs: DataFrame | None = None, labels: DataFrame | None = None, issuers: dict[str, str] | None = None) -> tuple[DataFrame, Registry]:
+    """Actors and registry with what sources state: pairs of names first, then labels that only their issuer's titles carry.
+
+    Each kind is judged against the registry made without it; its records then merge in a further pass.
+    """
+    registry = resolve(actors)
+    named = written(guessing.software_names(software))
+    if pairs is not None:
+        k = guessing.known(registry, software, reports, HISTORICAL)
+        fitted = guesses.fit(guessing.samples(labels, k, registry.keys)) if labels is not None else None
+        predict = (lambda names: guesses.decided(guessing.scored(names, k), fitted[0].weights, fitted[0].kept).select("name", "label")) if fitted else None
+        actors, registry = _with(actors, guessing.pair_records(pairs, registry, named, predict), registry)
+    if issuers:
+        actors, registry = _with(actors, guessing.title_cluster_records(reports, registry, named, issuers), registry)
+    return actors, registry
+
+
+def _with(actors: DataFrame, records: DataFrame, registry: Registry) -> tuple[DataFrame, Registry]:
+    found = written(records)
+    if found.isEmpty():
+        return actors, registry
+    empty = {f.name: F.array().cast(f.dataType) for f in found.sparkSession.createDataFrame([], schemas.ACTORS).schema if f.dataType.typeName() == "array"}
+    more = found.select("source", "source_id", "name", F.array_compact(F.array("alias")).alias("aliases"), *[c.alias(n) for n, c in empty.items() if n != "aliases"], "retrieved_at")
+    both = actors.unionByName(more)
+    return both, resolve(both)
+
+
+def guess_tables(registry: Registry, facts: DataFrame, reports: DataFrame, software: DataFrame, labels: DataFrame) -> dict[str, DataFrame]:
+    """Guesses at unresolved names and the measurement behind them; nothing where too few names are labelled."""
+    k = guessing.known(registry, software, reports, HISTORICAL)
+    fitted = guesses.fit(guessing.samples(labels, k, registry.keys))
+    if not fitted:
+        return {}
+    model, predictions = fitted
+    unresolved = facts.select(F.explode("unresolved").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    rows = written(guessing.guessed(unresolved, labels, model, k))
+    pending = labels.where("status = 'pending'").withColumn("key", guessing.keyed("name"))
+    predictions = written(predictions)
+    return {"guesses": rows, "guess_bands": guesses.band_report(predictions), "guess_confusion": stats_of.confusion(predictions, "truth", "label"), "guess_agreement": guesses.agreement_with(rows, pending)}
+
+
 def stats(r: Registry) -> DataFrame:
     counts = r.members.agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct("component").alias("n_entities"))
     refused = r.refused.agg(F.count_distinct("key").alias("n_refused"))
@@ -161,11 +204,17 @@ def integrity(entities: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def build(spark: SparkSession, records: dict[str, DataFrame], policies: DataFrame, build_day: str, out: str | None = None) -> dict[str, DataFrame]:
-    """Records by kind to the published tables; written below out, if given, once all checks have passed."""
-    actors = checks.gated(records["actors"], policies, "source")
-    registry = resolve(actors)
+def build(spark: SparkSession, records: dict[str, DataFrame], policies: DataFrame, build_day: str, out: str | None = None, issuers: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Records by kind to the published tables; written below out, if given, once all checks have passed.
+
+    Beside actors, reports and vulnerabilities, records may hold software, stated pairs of names (source, name, alias,
+    retrieved_at) and labelled names (name, label, status); issuers gives the source of each prefix of a label.
+    """
     reports = checks.gated(records["reports"], policies, "source")
+    software = checks.gated(records["software"], policies, "source") if "software" in records else spark.createDataFrame([], schemas.SOFTWARE)
+    pairs = checks.gated(records["pairs"], policies, "source") if "pairs" in records else None
+    labels = records.get("labels")
+    actors, registry = resolve_stated(checks.gated(records["actors"], policies, "source"), reports, software, pairs, labels, issuers)
     order = {s: k for k, s in enumerate(sorted(r["source"] for r in policies.collect()))}
     facts = written(report_facts(reports, cluster_reports(reports), registry.keys, order))
     entities = written(entity_rows(registry, actors, facts))
@@ -177,6 +226,8 @@ def build(spark: SparkSession, records: dict[str, DataFrame], policies: DataFram
         "refused_keys": registry.refused,
         "resolution": stats(registry),
     }
+    if labels is not None:
+        tables |= guess_tables(registry, facts, reports, software, labels)
     if out:
         sinks.publish(spark, tables, out, [integrity(entities, facts)])
     return tables

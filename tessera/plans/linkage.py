@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ascii_tokens, name_key
-from tessera.operators import checks, dedupe, graph, match
+from tessera.operators import checks, dedupe, graph, guesses, match
 from tessera.plans.registry import query
 from tessera.session import load
 
@@ -200,3 +200,18 @@ def policy_gate(spark, sf_dir):
     shown = checks.gated(members, policies, "n_name").select("n_name", F.col("source").alias("r_name"))
     hidden = policies.where("policy = 'evidence-only'").select(F.lit("none").alias("n_name"), F.col("source").alias("r_name"))
     return shown.unionByName(hidden)
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_nationkey % 5 = 0 THEN 'software' WHEN c_nationkey < 12 THEN 'bridge' ELSE 'new' END AS kind, c_nationkey % 5 <> 0 AND c_nationkey < 12 AS accepted,
+CASE WHEN c_nationkey < 12 THEN 'E' || c_nationkey END AS entity FROM customer""")
+def stated_pair_decisions(spark, sf_dir):
+    """Pairs of a nation's name and a customer's label: every fifth nation's name is one of software, those below 12 are known."""
+    customer, nation = load(spark, sf_dir, "customer", "nation")
+    who = lambda c: F.concat(F.lit("land"), F.translate(F.col(c).cast("string"), "0123456789", "abcdefghij"))
+    pairs = customer.select(F.col("c_custkey").alias("pair"), F.concat(who("c_nationkey"), F.lit(" Panda")).alias("name"), F.concat(F.lit("Storm-"), "c_custkey").alias("alias"))
+    key = F.concat(who("n_nationkey"), F.lit("panda"))
+    known = nation.where("n_nationkey < 12").select(key.alias("key"), F.concat(F.lit("E"), "n_nationkey").alias("component"))
+    software = nation.where("n_nationkey % 5 = 0").select(key.alias("key"), F.lit("malware").alias("kind"))
+    out = guesses.pair_decisions(pairs, known, software, known.select("component"))
+    return out.select(F.col("pair").alias("c_custkey"), "kind", "accepted", "entity")

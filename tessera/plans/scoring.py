@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import stats
+from tessera.operators import guesses, stats
 from tessera.plans.registry import query
 from tessera.session import load
 
@@ -51,24 +51,21 @@ def label_agreement(spark, sf_dir):
 
 
 def _samples(spark, sf_dir) -> DataFrame:
-    """One sample for each source: whether its labels are better than most, and two means over its texts."""
+    """Every labelled document: whether it is labelled good, and two numbers of its text."""
     docs, labels = load(spark, sf_dir, "documents", "labels")
     marks = F.length("text") - F.length(F.translate("text", "!*#$%&|", ""))
-    numbers = docs.select("doc_id", "source", F.log1p(marks).alias("marks"), F.log1p(F.length("text")).alias("size"))
-    per = numbers.join(labels, "doc_id", "left").groupBy("source").agg(F.avg("marks").alias("marks"), F.avg("size").alias("size"), F.avg("quality").alias("q"))
-    middle = per.agg(F.percentile("q", F.lit(0.5)).alias("m")).first()[0]
-    return per.select("source", (F.coalesce("q", F.lit(0.0)) > F.lit(middle)).cast("double").alias("y"), "marks", "size")
+    return docs.select("doc_id", F.log1p(marks).alias("marks"), F.log1p(F.length("text")).alias("size")).join(labels.select("doc_id", F.col("quality").cast("double").alias("y")), "doc_id")
 
 
 @query()
-def logistic_loo(spark, sf_dir):
-    return stats.leave_one_out(_samples(spark, sf_dir), "source", "y", ["marks", "size"])
+def logistic_folds(spark, sf_dir):
+    return stats.fold_probabilities(_samples(spark, sf_dir), "doc_id", "y", ["marks", "size"])
 
 
 @query()
 def calibrated_bands(spark, sf_dir):
     samples = _samples(spark, sf_dir)
-    scored = stats.leave_one_out(samples, "source", "y", ["marks", "size"]).join(samples.select("source", "y"), "source")
+    scored = stats.fold_probabilities(samples, "doc_id", "y", ["marks", "size"]).join(samples.select("doc_id", "y"), "doc_id")
     return stats.calibration_bins(scored, "p", F.col("y") == 1)
 
 
@@ -96,3 +93,14 @@ def rolled_up_labels(spark, sf_dir):
     parents = {r["p_type"]: "metal" for r in part.where("p_type LIKE 'A%' OR p_type LIKE 'B%'").select("p_type").distinct().collect()} or {"": ""}
     rolled = part.select(F.explode(stats.rolled_up(F.array("p_type"), parents)).alias("label"))
     return rolled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT event_id, (CASE WHEN event_type = 'view' THEN 0.5 WHEN r < 0.7 THEN 0.6 WHEN r < 0.85 THEN 0.69 ELSE 0.9 END)::DOUBLE AS confidence,
+CASE WHEN event_type <> 'view' AND r >= 0.85 THEN 'high' ELSE 'low' END AS band FROM (SELECT *, 0.5::DOUBLE + value::DOUBLE / 200 AS r FROM events)""")
+def graded_bands(spark, sf_dir):
+    """Confidence and band of raw scores where the medium band was refused."""
+    (events,) = load(spark, sf_dir, "events")
+    model = guesses.Model([], [0.0], [0.6, 0.8, 0.9], 0.5, ["high"], [], [], "actor")
+    grade = guesses.graded(model, F.lit(0.5) + F.col("value").cast("double") / 200, F.col("event_type") != "view")
+    return events.select("event_id", grade.alias("g")).select("event_id", "g.confidence", "g.band")

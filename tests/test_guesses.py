@@ -1,11 +1,13 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import guesses as G
 from tessera.operators import publishers as P
 from tessera.operators import shapes as S
+from tessera.operators import stats
 from tessera.sources import connectors
 
 
@@ -78,3 +80,44 @@ def test_connectors_gather(spark, tmp_path):
     assert [tuple(x) for x in counts.collect()] == [("names", 3, "actors", 1)]
     with pytest.raises(ValueError, match="unknown columns extra"):
         connectors.as_records(spark.createDataFrame([("x", 1)], "name string, extra int"), "actors", "s", "d")
+
+
+def test_confidences_without_the_row_itself():
+    rng = np.random.default_rng(5)
+    raw, fired = rng.uniform(0.5, 1, 60), rng.random(60) < 0.8
+    ok = rng.random(60) < raw
+    got, shares, silent = G.held_out(raw, ok, fired)
+    for i in range(60):
+        rest = np.arange(60) != i
+        _, some, quiet = G.held_out(raw[rest], ok[rest], fired[rest])
+        assert got[i] == (some[int(raw[i] >= 0.7) + int(raw[i] >= 0.85)] if fired[i] else quiet)
+    assert shares == sorted(shares) and 0 < silent < 1
+
+
+@pytest.mark.parametrize(("high", "medium", "want"), [((20, 20), (20, 15), ["high", "medium"]), ((19, 19), (1, 0), ["medium"]), ((20, 16), (0, 0), ["medium"]), ((20, 20), (19, 19), ["high"]), ((0, 0), (0, 0), [])])
+def test_bands_need_names_and_precision(high, medium, want):
+    conf = np.array([0.9] * high[0] + [0.75] * medium[0])
+    ok = np.array([i < high[1] for i in range(high[0])] + [i < medium[1] for i in range(medium[0])], bool)
+    assert G.granted_bands(conf, ok, np.ones(len(ok), bool)) == want
+
+
+def test_title_contexts(spark):
+    titles = spark.createDataFrame([(1, "Red Fox stealer and Red-Fox Stealers"), (2, "malware Redfox"), (3, "Red Fox threat actor"), (4, "actors Red Fox"), (5, None), (6, "")], "i int, t string")
+    keys = spark.createDataFrame([("redfox",), ("none",)], "key string")
+    assert [tuple(r) for r in S.title_contexts(titles, "i", "t", keys).collect()] == [("redfox", 2, 2)]
+
+
+def test_fold_probabilities(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 2))
+    y = (x[:, 0] + rng.normal(size=120) > 0).astype(float)
+    rows = [(i, float(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(120)] + [(200, None, 1.0, 1.0), (201, 1.0, None, 1.0)]
+    df = spark.createDataFrame(rows, "i long, y double, a double, b double")
+    got = {r["i"]: r["p"] for r in stats.fold_probabilities(df, "i", "y", ["a", "b"], folds=3).collect()}
+    fold = {r["i"]: r["f"] for r in df.selectExpr("i", "pmod(xxhash64(i), 3) AS f").collect()}
+    for f in range(3):
+        rest = np.array([fold[i] != f for i in range(120)])
+        w = stats.newton_fit(x[rest], y[rest])
+        for i in np.flatnonzero(~rest):
+            assert abs(got[i] - 1 / (1 + np.exp(-(w[0] + x[i] @ w[1:])))) < 1e-9
+    assert set(got) == set(range(120))
