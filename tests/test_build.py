@@ -81,19 +81,21 @@ def test_stated_names_and_guesses(spark):
     animals = [f"{a}{b}o" for a in "BDGKLM" for b in ("al", "er", "im")]
     actors = [actor("alpha", f"p{i}", f"{a}ta Panda", [f"UNC{2000 + i}"]) for i, a in enumerate(animals)] + ACTORS
     malware = [("alpha", f"s{i}", f"{a}mo Stealer", [], "malware", [], "x") for i, a in enumerate(animals)]
-    reports = [*REPORTS, report("paper", "q1", "x", "2025-01-01", "https://p.com/1", None, ["Vulpine Panda", "Vulpine Panda group", "Rogue Stealer", "Rogue Stealer", "Operation Fog", "Sure Thing", "Balota Panda Team"]), report("alpha", "t1", "Meet Storm-4455 now", "2025-01-02", "https://p.com/2")]
+    reports = [*REPORTS, report("paper", "q1", "x", "2025-01-01", None, None, ["Vulpine Panda", "Balota Panda"]), report("alpha", "t1", "Meet Storm-4455 now", "2025-01-02", "https://p.com/2")]
     records, _ = made(spark, actors, reports)
-    policies = spark.createDataFrame([(s, "full") for s in ("attack", "alpha", "beta", "gamma", "paper")], "source string, policy string")
     records["software"] = spark.createDataFrame(malware, schemas.SOFTWARE)
     records["pairs"] = spark.createDataFrame([("alpha", "Balota Panda", "Storm-7777", "d"), ("alpha", "Storm-7777", "Balota Panda", "e"), ("alpha", "Red Fox", "Blue Owl", "d"), ("alpha", "Storm-8888", "Lone Panda", "d"), ("alpha", "Balomo Stealer", "Storm-9999", "d")], "source string, name string, alias string, retrieved_at string")
     truth = [(n, "actor", "derived") for a in actors[: len(animals)] for n in (a[2], a[3][0])] + [(f"{a}mo Stealer", "malware", "derived") for a in animals] + [("Gone Panda", "actor", "derived"), ("Sure Thing", "malware", "confirmed"), ("Rogue Stealer", "malware", "pending"), ("Vulpine Panda", "malware", "pending")]
     records["labels"] = spark.createDataFrame(truth, "name string, label string, status string")
-    t = B.build(spark, records, policies, "2026-01-15", issuers={"Storm": "alpha"})
-    names = {x["name"]: r["id"] for r in t["entities"].select("id", F.explode("aliases").alias("x")).collect() for x in [r["x"]]}
+    _, registry = B.resolve_stated(records["actors"], records["reports"], records["software"], records["pairs"], records["labels"], {"Storm": "alpha"})
+    names = {r["spelling"]: r["component"] for r in registry.names.collect()}
     assert names["Storm-7777"] == names["Balota Panda"]  # a bridge, stated twice
     assert names["Storm-8888"] == names["Lone Panda"]  # both sides are guessed to be an actor
     assert names["Storm-4455"] == "alpha:cluster:storm4455" and names["Red Fox"] != names["Blue Owl"] and "Storm-9999" not in names
+    facts = spark.createDataFrame([(["Vulpine Panda", "Vulpine Panda group", "Rogue Stealer"],), (["Rogue Stealer", "Operation Fog", "Sure Thing", "Vulpine Panda"],)], "unresolved array<string>")
+    t = B.guess_tables(registry, facts, records["reports"], records["software"], records["labels"])
     got = {r["name"]: r for r in t["guesses"].collect()}
+    assert got["Vulpine Panda"]["n"] == 3 and got["Rogue Stealer"]["n"] == 2 and len(got) == 4
     assert (got["Vulpine Panda"]["label"], got["Rogue Stealer"]["label"], got["Operation Fog"]["label"]) == ("actor", "malware", "not-an-entity")
     assert got["Operation Fog"]["band"] == "unvalidated" and got["Operation Fog"]["confidence"] is None
     assert got["Sure Thing"]["band"] == "confirmed" and "Gone Panda" not in got
