@@ -1,27 +1,36 @@
 """License scans by conditional compression.
 
 A candidate block is a paragraph that speaks of licensing, taken whole, without comment marks and with its lines joined, as
-notices are wrapped at any width. In its words the wording of every template is looked for: the
-words of the template that a notice lacks or changes must be few, and none of them may be a word that tells licenses apart
-(a version number, NC, ND, SA and the like). So few changes leave one of a known number of parts of the template intact;
-notices are aligned around those parts, which loses none. Each notice is then compressed alone and with its template as a
-raw zstandard dictionary, which tells how much of it the template explains, whatever else the block holds.
+notices are wrapped at any width. Its words are compressed in windows as long as a notice, alone and with the words of each
+template as a raw zstandard dictionary. In every window the templates are ranked by the bytes that the dictionary saves, and
+those that save enough for a notice are confirmed by the exact differences in wording: the words of the template that a notice
+lacks or changes must be few, and none of them may be a word that tells licenses apart (a version number, NC, ND, SA and the
+like). Of the confirmed notices of one license in one place the one that saves most counts. Each is weighed by itself, by the
+share that its template saves of its text, whatever else the block holds.
+
+Windows are no longer than a notice can be, with few words to spare, as a short notice saves next to nothing of a long window
+or one of rare words. Words of no template of the size are marks in them, as they say nothing of its wording.
 
 Defined results. Null or empty text: no blocks, no license. Paragraphs of any length are whole blocks. Repeated notices count each
-time; of templates of one license in one place the longest counts. Extra columns are ignored.
+time. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 TRIGGER = re.compile(r"licen[cs]|copyright|permission is hereby|redistribution and use|without warranty|spdx|public domain|all rights reserved", re.I)
 # One word of each trigger, as the others may stand on the next line.
 HINTS = ("licen", "copyright", "hereby", "redistribution", "warranty", "spdx", "public", "reserved")
 LEADER = re.compile(r"(?:(?://+!?|/\*+!?|\(\*+|\*+[/)]?|#+|;+|--+|%+|!+|<!--|>+|(?:dnl|rem)\b)\s*)+", re.I)
-LEVEL, MAX_CHANGED = 6, 0.12
+# A window with a notice saves at least LEAST_SAVED of what its template saves of itself: a search for windows that save little,
+# over all templates, places of the changes and words around them, found no share below 0.38.
+LEVEL, MAX_CHANGED, LEAST_SAVED, MARK = 6, 0.12, 0.25, "?"
 
 # Wordings of license notices as published by their stewards, and short forms in common use.
 TEMPLATES = {
@@ -87,84 +96,114 @@ def blocks(text: str) -> list[str]:
 
 
 class Scanner:
-    """Finds the notices of a block; compressors and runs of words are made once per worker."""
+    """Ranks templates in a block and confirms its notices; compressors are made once per worker."""
 
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         import zstandard
 
         self.words = {k: words(v) for k, v in sorted(templates.items())}
         self.most = {k: int(MAX_CHANGED * len(w)) for k, w in self.words.items()}
-        self.runs = {k: self._runs(w, self.most[k]) for k, w in self.words.items()}
+        self.vocabulary = {x: i for i, x in enumerate(sorted({x for w in self.words.values() for x in w}))}
+        self.sizes: dict[int, list[str]] = {}
+        self.owned: dict[int, np.ndarray] = {}  # by size of template, whether it has the word of that number; the last is for words of none
+        for k, w in self.words.items():
+            self.sizes.setdefault(len(w), []).append(k)
+            self.owned.setdefault(len(w), np.zeros(len(self.vocabulary) + 1, dtype=bool))[[self.vocabulary[x] for x in w]] = True
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         made = lambda v: zstandard.ZstdCompressionDict(v.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.given = {k: zstandard.ZstdCompressor(level=LEVEL, dict_data=made(v), write_content_size=False, write_dict_id=False) for k, v in sorted(templates.items())}
+        given = lambda v: zstandard.ZstdCompressor(level=LEVEL, dict_data=made(v), write_content_size=False, write_dict_id=False)
+        self.given = {k: given(" ".join(w)) for k, w in self.words.items()}
+        self.texts = {k: given(v) for k, v in sorted(templates.items())}
+        self.least = {k: LEAST_SAVED * self.saved(k, w) for k, w in self.words.items()}
+        self.ranked = functools.lru_cache(1 << 16)(self._ranked)
         self.known: dict[str, list] = {}
 
-    @staticmethod
-    def _runs(want: list[str], most: int) -> list[tuple[int, str]]:
-        """Runs of words (with their places) of which a notice with so many changes must keep one intact: changes cut it into most + 1 parts."""
-        n = -(-(len(want) - most) // (most + 1))
-        return [(i, f" {' '.join(want[i : i + n])} ") for i in range(len(want) - n + 1)]
-
     def saving(self, name: str, notice: str) -> float:
         raw = notice.encode("utf-8", "replace")
-        return 1 - len(self.given[name].compress(raw)) / len(self.alone.compress(raw))
+        return 1 - len(self.texts[name].compress(raw)) / len(self.alone.compress(raw))
+
+    def saved(self, name: str, have: list[str]) -> int:
+        """Bytes that the template saves of words."""
+        raw = " ".join(have).encode()
+        return len(self.alone.compress(raw)) - len(self.given[name].compress(raw))
 
-    def places(self, name: str, have: list[str], joined: str, at: dict[int, int]) -> list[tuple[int, int, int]]:
-        """(first word, end, differing words) of every notice with the template's wording among the words of a block.
+    def _ranked(self, n: int, window: str) -> list[str]:
+        """Templates of n words by the bytes that they save of a window, without those that save too little for a notice."""
+        raw = window.encode()
+        alone = len(self.alone.compress(raw))
+        saved = sorted((len(self.given[k].compress(raw)) - alone, k) for k in self.sizes[n])
+        return [k for x, k in saved if -x >= self.least[k]]
 
-        joined holds the words between single spaces, at the number of the word that begins after each of them.
+    def candidates(self, have: list[str]) -> dict[str, list[list[int]]]:
+        """By template, the windows of a block that it saves enough of, overlaps merged.
+
+        Every part as long as a notice lies whole in a window; one with too few words of the templates of a size cannot hold a
+        notice of theirs.
         """
-        want, most, out = self.words[name], self.most[name], []
-        whole, k = f" {' '.join(want)} ", 0
-        while (k := joined.find(whole, k)) >= 0:
-            out.append((at[k], at[k] + len(want), 0))
-            k += len(whole) - 1
-        if not most:
-            return out
-        # Words around the runs that do not belong to a notice found already, overlaps merged.
-        held = {j for s, e, _ in out for j in range(s, e)}
-        near: list[list[int]] = []
-        begins = set()
-        for i, run in self.runs[name]:
-            k = -1
-            while (k := joined.find(run, k + 1)) >= 0:
-                if at[k] not in held:
-                    begins.add(at[k] - i)
-        for s in sorted(begins):
-            lo, hi = max(0, s - most), min(len(have), s + len(want) + most)
-            if near and lo <= near[-1][1]:
-                near[-1][1] = hi
-            else:
-                near.append([lo, hi])
+        numbers = np.array([self.vocabulary.get(w, -1) for w in have], dtype=np.int64)
+        out: dict[str, list[list[int]]] = {}
+        for n, names in self.sizes.items():
+            most = self.most[names[0]]
+            step = max(1, most)
+            begins = np.arange(0, len(have) - n + most + 1, step)
+            ends = np.minimum(begins + n + most + step - 1, len(have))
+            own = self.owned[n][numbers]
+            total = np.concatenate(([0], np.cumsum(own)))
+            full = total[ends] - total[begins] >= n - most
+            if not full.any():
+                continue
+            marked = [w if x else MARK for w, x in zip(have, own.tolist(), strict=True)]
+            for lo, hi in zip(begins[full].tolist(), ends[full].tolist(), strict=True):
+                for name in self.ranked(n, " ".join(marked[lo:hi])):
+                    near = out.setdefault(name, [])
+                    if near and lo <= near[-1][1]:
+                        near[-1][1] = hi
+                    else:
+                        near.append([lo, hi])
+        return out
+
+    def places(self, name: str, have: list[str], near: list[list[int]]) -> list[tuple[int, int, int]]:
+        """(first word, end, differing words) of every notice with the template's wording in parts of a block."""
+        near, out = list(near), []
         while near:
             lo, hi = near.pop()
-            found = [(lo + s, lo + e, changed) for s, e, changed in self._aligned(want, most, have[lo:hi], [j in held for j in range(lo, hi)])]
+            found = [(lo + s, lo + e, changed) for s, e, changed in self._aligned(self.words[name], self.most[name], have[lo:hi])]
             out += found
             if found:
                 near += [[a, b] for a, b in zip([lo, *(e for _, e, _ in found)], [*(s for s, *_ in found), hi], strict=True)]
         return sorted(out)
 
     @staticmethod
-    def _aligned(want: list[str], most: int, have: list[str], held: list[bool]) -> list[tuple[int, int, int]]:
-        """Parts of have that lack or put in at most so many words, none of them telling, and none held; the best of those that overlap."""
-        if len(have) < len(want) - most:
+    def _aligned(want: list[str], most: int, have: list[str]) -> list[tuple[int, int, int]]:
+        """Parts of have that lack or put in at most so many words, none of them telling; the best of those that overlap.
+
+        Parts without a difference come first, by themselves.
+        """
+        if (Counter(want) & Counter(have)).total() < len(want) - most:
             return []
+        out, k = [], 0
+        joined, whole = f" {' '.join(have)} ", f" {' '.join(want)} "
+        while (k := joined.find(whole, k)) >= 0:
+            s = joined.count(" ", 0, k)
+            out.append((s, s + len(want), 0))
+            k += len(whole) - 1
+        if out or not most:
+            return out
         cost = [most + 1 if w in TELLING else 1 for w in want]
         row = [(0, 0)]
         for c in cost:
             row.append((row[-1][0] + c, 0))
         ends = []
         for j, x in enumerate(have):
-            more = most + 1 if held[j] or x in TELLING else 1
+            more = most + 1 if x in TELLING else 1
             new = [(0, -j - 1)]  # starts are negative: of equal parts the one that starts last
             for i, w in enumerate(want):
                 here = min((row[i + 1][0] + more, row[i + 1][1]), (new[i][0] + cost[i], new[i][1]))
-                new.append(min(here, row[i]) if w == x and not held[j] else here)
+                new.append(min(here, row[i]) if w == x else here)
             row = new
             if row[-1][0] <= most:
                 ends.append((row[-1][0], j + 1, -row[-1][1]))
-        out, own = [], set()
+        own = set()
         for changed, e, s in sorted(ends):
             if own.isdisjoint(range(s, e)):
                 own.update(range(s, e))
@@ -179,28 +218,23 @@ class Scanner:
         text = block if len(low) == len(block) else low
         spans = [m.span() for m in re.finditer(r"[a-z0-9]+", low)]
         have = [low[s:e] for s, e in spans]
-        joined = f" {' '.join(have)} "
-        at, k = {}, 0
-        for j, w in enumerate(have):
-            at[k] = j
-            k += len(w) + 1
         # Each notice is weighed by itself, however long the rest of the block is.
         found = []
-        for name in self.words:
-            for s, e, changed in self.places(name, have, joined, at):
+        for name, near in self.candidates(have).items():
+            for s, e, changed in self.places(name, have, near):
                 a, b = spans[s][0], spans[e - 1][1]
                 while a and not text[a - 1].isspace() and not text[a - 1].isalnum():
                     a -= 1
                 while b < len(text) and not text[b].isspace() and not text[b].isalnum():
                     b += 1
-                found.append((s - e, -self.saving(name, text[a:b]), name, s, e, changed))
-        # Templates of one license in one place are one notice: the longest counts, then the one that saves most.
+                found.append((-self.saved(name, have[s:e]), name, s, e, changed, self.saving(name, text[a:b])))
+        # Templates of one license in one place are one notice: the one that saves most counts.
         out, own = [], {}
-        for _, saving, name, s, e, changed in sorted(found):
+        for _, name, s, e, changed, saving in sorted(found):
             held = own.setdefault(template_license(name), set())
             if held.isdisjoint(range(s, e)):
                 held.update(range(s, e))
-                out.append((template_license(name), -saving, changed))
+                out.append((template_license(name), saving, changed))
         if len(self.known) < 4096 and len(block) < 2048:
             self.known[block] = out
         return out

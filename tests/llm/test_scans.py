@@ -123,6 +123,43 @@ def test_wrapped_notices(make_docs, lead, near):
     assert got == {i: (1, licenses.template_license(k), 1, 0) for i, (k, _) in enumerate(wrapped)}
 
 
+def test_licenses_come_from_the_ranking():
+    s = licenses.Scanner()
+    both = licenses.TEMPLATES["MIT"] + "\n" + licenses.TEMPLATES["Apache-2.0"]
+    assert {x[0] for x in s.scan(both)} == {"Apache-2.0", "MIT"}
+    s = licenses.Scanner()
+    s.given["MIT"] = s.alone  # a template whose dictionary saves nothing is no candidate
+    assert {x[0] for x in s.scan(both)} == {"Apache-2.0"}
+
+
+def test_ranking_loses_no_notice():
+    s, rng = licenses.Scanner(), random.Random(10)
+    vocabulary = sorted(s.vocabulary)
+    plain = sorted(s.vocabulary.keys() - licenses.TELLING)
+
+    def notice(name):
+        have = list(s.words[name])
+        for _ in range(rng.randint(0, s.most[name])):
+            at = rng.randrange(1, len(have))
+            if rng.random() < 0.5 and have[at] not in licenses.TELLING:
+                del have[at]
+            else:
+                have.insert(at, rng.choice([*plain, *["strange"] * 30]))
+        return have
+
+    n_found = 0
+    for _ in range(150):
+        have = []
+        for _ in range(rng.randint(1, 4)):
+            have += rng.choices([*vocabulary, *["strange"] * 30], k=rng.choice([0, 1, 5, 30])) + notice(rng.choice(list(s.words)))
+        near = s.candidates(have)
+        for name in s.words:
+            want = s.places(name, have, [[0, len(have)]])
+            assert s.places(name, have, near.get(name, [])) == want, (name, have)
+            n_found += len(want)
+    assert n_found > 300
+
+
 # --- line dedup ------------------------------------------------------------------------------------------------------------
 
 
