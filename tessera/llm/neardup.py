@@ -14,8 +14,9 @@ What can be missed: a pair that shares no region (0.0002 of pairs at the limit o
 agree in fewer than LIKELY values (0.00002 of such pairs). Nothing is capped: an order that puts other nodes between two
 near ones, or a task's end, only leaves them to the comparison across groups.
 
-Groups are the connected components of confirmed links: links are first reduced to a forest within each task, then labels
-spread over tables in the shared folder. Links inside a known group are dropped, and of those between two groups one counts.
+Groups are the connected components of confirmed links. Up to LINKS links are joined in one task, where rounds of shuffles
+would cost more than the work. More are first reduced to a forest within each task, then labels spread over tables in the
+shared folder. Links inside a known group are dropped, and of those between two groups one counts.
 
 Defined results. Null text, or text without words: empty set, linked with nothing. Fewer than k words: the whole sequence is
 one shingle. Null doc_id: a document like any other, never the smallest. Repeated rows: one group, each row returned. Empty
@@ -37,6 +38,7 @@ VALUES, TREES, DEPTH = 64, 16, 4
 FIRST = 4  # orders whose neighbours are joined before the others are looked at
 LIKELY = 38  # of 64 equal values: at a similarity of 0.8, 51 are expected, and fewer than 38 come once in about 50,000 pairs
 TILE, SKETCH = 512, 4096
+LINKS = 1 << 17  # so many links take a task about 50 MB
 
 _R = np.random.default_rng(20240229)
 _XOR = _R.integers(1 << 63, size=VALUES, dtype=np.uint64)
@@ -182,7 +184,7 @@ def member_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int) -
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, run) whose full sets overlap as asked, written."""
+    """Links (a, b, run) between the groups ca and cb of those pairs (a, b, ca, cb, run) whose full sets overlap as asked, written."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def kept(batches):
@@ -196,14 +198,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4)], ["a", "b", "run"]).filter(pa.array(good, pa.bool_()))
 
-    return materialise(both.select("a", "b", "x", "y", "run").mapInArrow(kept, "a binary, b binary, run long"))
+    return materialise(both.select(F.least("ca", "cb"), F.greatest("ca", "cb"), "x", "y", "run").mapInArrow(kept, "a binary, b binary, run long"))
 
 
-def _forest(links: DataFrame) -> DataFrame:
-    """For the links of each task, its nodes with the smallest node that the task's links join them to.
-
-    The links of a run form a path; a task that has them all makes it a star, so labels need few rounds to spread.
-    """
+def _stars(links: DataFrame) -> DataFrame:
+    """For the links (a, b) of each task, its nodes (src) with the smallest node (dst) that the task's links join them to."""
 
     def joined(batches):
         import pyarrow as pa
@@ -223,21 +222,25 @@ def _forest(links: DataFrame) -> DataFrame:
                 x, y = root(x), root(y)
                 if x != y:
                     up[max(x, y)] = min(x, y)
-        nodes = list(up)
+        nodes = [*up, *{root(x) for x in up}]
         for i in range(0, len(nodes), 10_000):
             own = nodes[i : i + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([root(x) for x in own], pa.binary())], ["src", "dst"])
 
-    return links.repartition("run").select("a", "b").mapInArrow(joined, "src binary, dst binary").where("src != dst")
+    return links.select("a", "b").mapInArrow(joined, "src binary, dst binary")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for every node of a link (a, b, run); comp is the smallest node of the connected component.
 
-    Each round the smallest label among a node's neighbours goes to the node and to the node that it was labelled with; then
+    Where links are many, those of each task become stars first, runs whole, as a run's links form a path. Then in each round
+    the smallest label among a node's neighbours goes to the node and to the node that it was labelled with; then
     every node takes its label's label. So whole groups are hooked at once, and rounds grow with the logarithm of a path.
     """
-    forest = _forest(links)
+    if links.count() <= LINKS:
+        return materialise(_stars(links.coalesce(1)).select(F.col("src").alias("node"), F.col("dst").alias("comp")))
+    # Of the links between two groups one counts.
+    forest = _stars(links.groupBy("a", "b").agg(F.min("run").alias("run")).repartition("run")).where("src != dst")
     edges = materialise(forest.union(forest.select("dst", "src")).distinct())
     labels = materialise(edges.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("comp")).withColumnRenamed("src", "node"))
     while True:
@@ -259,17 +262,16 @@ def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """The groups after links between them; of the links between two groups one counts."""
+    """The groups after links between them."""
     if links.isEmpty():
         return groups
-    between = across(links, groups).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "run")
-    names = components(between.groupBy("a", "b").agg(F.min("run").alias("run"))).select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    names = components(links).select(F.col("node").alias("old"), F.col("comp").alias("new"))
     out = groups.join(names, F.col("comp") == F.col("old"), "left")
     return materialise(out.select("node", F.coalesce("new", "comp").alias("comp")))
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
-    """(node, sketch): how many shingles fall into each of SKETCH buckets; null where a bucket's count needs more than a byte.
+    """The sets' rows with a sketch for the set: how many shingles fall into each of SKETCH buckets; null where a bucket's count needs more than a byte.
 
     What two sets share is at most the sum, over buckets, of the smaller count.
     """
@@ -279,12 +281,12 @@ def _sketches(sets: DataFrame) -> DataFrame:
 
         for b in batches:
             out = []
-            for x in b.column(1):
+            for x in b.column(3):
                 c = np.bincount((np.cumsum(unpack_numbers(x.as_py()), dtype=np.uint64) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
                 out.append(pack_numbers(c.astype(np.uint8)) if c.max(initial=0) < 255 else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["node", "sketch"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["node", "n_shingles", "sig", "sketch"])
 
-    return sets.select("node", "set").mapInArrow(made, "node binary, sketch binary")
+    return sets.select("node", "n_shingles", "sig", "set").mapInArrow(made, "node binary, n_shingles long, sig binary, sketch binary")
 
 
 def mixed_members(members: DataFrame, groups: DataFrame) -> DataFrame:
@@ -302,8 +304,7 @@ def tiled(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
 
     Regions are compared tile by tile, and a pair is told in its first common region only.
     """
-    sketches = _sketches(sets.join(mixed.select("node").distinct(), "node", "left_semi"))
-    facts = materialise(nodes.select("node", "n_shingles", "sig").join(sketches, "node"))
+    facts = materialise(_sketches(mixed.select("node").distinct().join(nodes.select("node", "n_shingles", "sig"), "node").join(sets, "node")))
     rows = mixed.join(facts, "node")
     packed = rows.groupBy("region", "tree", "tile", "tiles").agg(F.collect_list(F.struct("node", "comp", "n_shingles", "sketch", "sig")).alias("held"))
     left = packed.select("region", "tree", F.col("held").alias("x"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("tile"))
@@ -347,21 +348,24 @@ def tiled(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
 def node_groups(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """Nodes with comp, their group (themselves where they have no link)."""
     members = region_members(nodes)
-    sets = member_sets(docs, nodes, members, k)
-    groups = members.select("node").distinct().select("node", F.col("node").alias("comp"))
+    groups = materialise(members.select("node", F.col("node").alias("comp")).distinct())
+    sets = member_sets(docs, nodes, groups, k)
     tried = materialise(neighbours(members, nodes, percent))
     # The first orders join most of what belongs together; of the others, only pairs that are still apart are looked at.
-    groups = merged(groups, confirmed(tried.where(F.col("tree") < FIRST).drop("tree"), sets, percent))
-    later = across(tried.where(F.col("tree") >= FIRST).drop("tree"), groups).select("a", "b", "run")
+    first = tried.where(F.col("tree") < FIRST).select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"), "run")
+    groups = merged(groups, confirmed(first, sets, percent))
+    later = across(tried.where(F.col("tree") >= FIRST).drop("tree"), groups)
     groups = merged(groups, confirmed(later, sets, percent))
     # What still shares a region but no group: the likeliest pair of two groups first, then what is left apart.
-    apart = materialise(tiled(mixed_members(members, groups), nodes, sets, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    if not apart.isEmpty():
-        ca, cb = F.least("ca", "cb"), F.greatest("ca", "cb")
-        best = apart.groupBy(ca.alias("ca"), cb.alias("cb")).agg(F.max(F.struct("same", "a", "b")).alias("top")).select("top.a", "top.b", F.xxhash64("ca").alias("run"))
-        groups = merged(groups, confirmed(best, sets, percent))
-        rest = across(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), groups).select("a", "b", F.xxhash64("ca").alias("run"))
-        groups = merged(groups, confirmed(rest, sets, percent))
+    mixed = materialise(mixed_members(members, groups))
+    if not mixed.isEmpty():
+        apart = materialise(tiled(mixed, nodes, sets, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        if not apart.isEmpty():
+            ca, cb = F.least("ca", "cb"), F.greatest("ca", "cb")
+            best = apart.groupBy(ca.alias("ca"), cb.alias("cb")).agg(F.max(F.struct("same", "a", "b")).alias("top")).select("top.a", "top.b", "ca", "cb", F.xxhash64("ca").alias("run"))
+            groups = merged(groups, confirmed(best, sets, percent))
+            rest = across(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), groups).withColumn("run", F.xxhash64("ca"))
+            groups = merged(groups, confirmed(rest, sets, percent))
     return nodes.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 

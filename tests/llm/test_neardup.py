@@ -112,3 +112,34 @@ def test_long_paths_need_few_rounds(spark, monkeypatch):
     got = {bytes(x["node"]): bytes(x["comp"]) for x in neardup.components(spark.createDataFrame(links, "a binary, b binary, run long").repartition(4)).collect()}
     assert got == {n: min(own) for own in (names[:1000], names[1000:]) for n in own}
     assert len(tables) <= 10
+
+
+@pytest.mark.parametrize("most", [0, neardup.LINKS])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, most):
+    """Few links are joined in one task with one table, however many partitions shuffles have; both ways agree."""
+    r = random.Random(4)
+    names = [bytes(f"{k:05}", "ascii") for k in r.sample(range(10**5), 700)]
+    links = [(*sorted(p), k) for k, p in enumerate(zip(names[:500], names[1:500], strict=False))]
+    links += [(*sorted((names[500], x)), -1) for x in names[501:700]] + links[:20] + [(*sorted((names[0], names[250])), -2)]
+    tables, written = [], neardup.materialise
+    monkeypatch.setattr(neardup, "materialise", lambda df: tables.append(1) or written(df))
+    monkeypatch.setattr(neardup, "LINKS", most)
+    got = neardup.components(spark.createDataFrame(links, "a binary, b binary, run long").repartition(7)).collect()
+    assert len(got) == 700
+    assert {bytes(x["node"]): bytes(x["comp"]) for x in got} == {n: min(own) for own in (names[:500], names[500:]) for n in own}
+    assert not most or len(tables) == 1
+
+
+def test_cloud_by_rounds(make_docs, monkeypatch):
+    monkeypatch.setattr(neardup, "LINKS", 0)
+    rows = list(enumerate(cloud(80, 100, 0.25, 1) + cloud(30, 30, 0.2, 2)))
+    assert found(make_docs(rows).repartition(3), 2) == brute(rows, 2)
+
+
+def test_few_stages_on_a_large_group_of_near_copies(spark, make_docs):
+    """A stage costs as many tasks as shuffles have partitions. Rounds of labels made it 182 stages here; 101 are left."""
+    rows = list(enumerate(cloud(150, 100, 0.25, 1)))
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.nextStageId()
+    assert found(make_docs(rows), 2) == brute(rows, 2)
+    assert scheduler.nextStageId() - before <= 140
